@@ -6,7 +6,10 @@ from importlib import import_module
 
 #: Modules with QUERIES (name -> callable) and ORACLES (name -> SQL).
 MODULES = (
+    "media",
+    "quality_gam",
     "pieces",
+    "mixing",
 )
 
 
