@@ -10,6 +10,7 @@ MODULES = (
     "quality_gam",
     "pieces",
     "mixing",
+    "toxicity",
 )
 
 
