@@ -11,6 +11,7 @@ MODULES = (
     "pieces",
     "mixing",
     "toxicity",
+    "near_dedup",
 )
 
 
