@@ -9,6 +9,7 @@ MODULES = (
     "media",
     "quality_gam",
     "pieces",
+    "substrings",
     "mixing",
     "toxicity",
     "near_dedup",
