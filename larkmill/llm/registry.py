@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Modules with QUERIES (name -> callable) and ORACLES (name -> SQL).
 MODULES = (
+    "order_minhash",
     "suffix_tree",
     "media",
     "quality_gam",
