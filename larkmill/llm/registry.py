@@ -13,6 +13,7 @@ MODULES = (
     "pieces",
     "substrings",
     "mixing",
+    "secrets",
     "toxicity",
     "near_dedup",
 )
