@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,8 @@ from larkmill.sources import files
 ENGINES = ("File", "Memory", "Dictionary")
 #: Column of Dictionary tables that orders the writes of a key.
 WRITTEN = "_written"
+#: Column of written parts that tells whether a value of the row did not convert; readers leave it out.
+FAULTY = "_larkmill_faulty"
 
 
 class Tables:
@@ -88,21 +90,21 @@ class Tables:
         return source.select(*(out.get(n, F.lit(None).cast(type_of(t))).alias(n) for n, t in entry["columns"]), *(b.alias(f"_bad{i}") for i, b in enumerate(bad))), [f"_bad{i}" for i in range(len(bad))]
 
     def append(self, database: str, name: str, df: DataFrame, columns: list[str] | None = None, strict: bool = True) -> int:
-        """Rows written. All of them or, if a value does not convert, none: values are counted in the pass that writes them."""
+        """Rows written. All of them or, if a value does not convert, none: conversion is tested in the pass that writes, and its outcome
+        counted from one column of what was written."""
         entry = self.need(database, name)
         made, bad = self.fitted(entry, df, columns, strict)
-        seen = Observation()
-        wrong = F.count_if(reduce(lambda a, b: a | b, (F.col(b) for b in bad))) if bad else F.lit(0)
-        made = made.observe(seen, F.count(F.lit(1)).alias("rows"), F.max(F.lit(0)).alias("unused") if not bad else wrong.alias("bad")).drop(*bad)
+        made = made.withColumn(FAULTY, reduce(lambda a, b: a | b, (F.col(b) for b in bad)) if bad else F.lit(False)).drop(*bad)
         if entry["engine"] == "Dictionary":
             made = made.withColumn(WRITTEN, F.lit(len(entry["parts"])).cast("long") * (1 << 40) + F.monotonically_increasing_id() % (1 << 40))
         path = f"{self.folder(database, name, entry)}/part-{uuid.uuid4().hex}"
         made.write.parquet(path)
-        if seen.get.get("bad"):
+        seen = self.spark.read.schema(f"{FAULTY} boolean").parquet(path).agg(F.count(F.lit(1)).alias("rows"), F.count_if(FAULTY).alias("bad")).first()
+        if seen.bad:
             files.delete(self.spark, path)
-            raise PlanProblem(f"{seen.get['bad']} rows do not convert to the columns of {name}")
+            raise PlanProblem(f"{seen.bad} rows do not convert to the columns of {name}")
         entry["parts"].append(path)
-        return seen.get["rows"]
+        return seen.rows
 
     def replace(self, database: str, name: str, df: DataFrame, columns: list | None = None) -> None:
         """The rows of df take the place of the table's; readers see either."""
