@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from larkmill.llm.base import documents, words_column
 
-#: A candidate: at least 12 letters, digits and + / _ - in a row, with two digits among them.
+#: A candidate: at least 12 letters, digits and + / _ - in a row, from the start of such a run, with two digits among them.
 _RUN = r"[A-Za-z0-9+/_\-]{12,}={0,2}"
-_MAY_HOLD = r"(?=[A-Za-z+/_\-]*[0-9][A-Za-z+/_\-]*[0-9])" + _RUN
+_MAY_HOLD = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9][A-Za-z+/_\-]*[0-9])" + _RUN
 #: Optional name before the candidate in the same word, and the candidate.
 _PARTS = r"^([^A-Za-z0-9]*[A-Za-z][A-Za-z0-9_.\-]{1,40}[\"']?\s*(?:=|:)+>?)?[\"'(\[{<]*(" + _RUN + r")"
 #: Words that name what follows as secret, and words that name it as something else.
