@@ -34,11 +34,11 @@ def append_values(spark: SparkSession, root: str, stream: str, first: int, paylo
 
 
 def append_frame(df: DataFrame, root: str, stream: str, first: int, order: list[str]) -> int:
-    """Appends column payload of df, in the order given. Offsets come from each range's rank and the sizes of the ranges before it, so
+    """Appends column payload of df, in the order given (none: as its partitions come). Offsets come from each range's rank and the sizes of the ranges before it, so
     that no task sees more than its own range."""
     spark = df.sparkSession
     staged = f"{log_path(root, stream)}-staged"
-    df.orderBy(*order).withColumn("part", F.spark_partition_id()).withColumn("within", F.monotonically_increasing_id()).write.mode("overwrite").parquet(staged)
+    (df.orderBy(*order) if order else df).withColumn("part", F.spark_partition_id()).withColumn("within", F.monotonically_increasing_id()).write.mode("overwrite").parquet(staged)
     rows = spark.read.parquet(staged)
     sizes = {r.part: r.n for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
     starts, at = {}, first

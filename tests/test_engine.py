@@ -126,6 +126,9 @@ def test_streams(e, spark):
     assert run(e, "SHOW STREAM_METRICS FOR STREAM s") == [("s", "3", "0")]
     e.append_stream("s", spark.range(100).selectExpr("id", "CAST(id AS STRING) AS payload"), ["id"])
     assert run(e, "SUBSCRIBE s CONSUMER_GROUP g LIMIT 3") == [("3", "0"), ("4", "1"), ("5", "2")]
+    run(e, "CREATE STREAM u", "INSERT INTO u VALUES ('z')")
+    e.register_frame("t2", spark.range(3).selectExpr("id"))
+    assert sorted(p for _, p in run(e, "INSERT INTO u SELECT id FROM t2", "SUBSCRIBE u")) == ["0", "1", "2", "z"]
     query = e.read_stream("s").writeStream.format("memory").queryName("log").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("log").count() == 103
