@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkmill.llm.base import documents, slices, written
+from larkmill.llm.base import documents, drop_written, slices, written
 from larkmill.llm.graph import components
 from larkmill.llm.words import hash_words, scramble
 
@@ -18,8 +18,11 @@ from larkmill.llm.words import hash_words, scramble
 CHUNKS, WIDTH = 12, 4
 #: Symbols in which a chunk may differ; two signatures that differ in at most CHUNKS * (ERRORS + 1) - 1 of the symbols share a key.
 ERRORS = 1
-#: Pivot rounds go on while the exhaustive step would try more pairs than this many times the members of shared keys.
-WORK = 4
+DISTANCE = CHUNKS * (ERRORS + 1) - 1
+#: Members of a key, and shingles of a group of candidates, in one block.
+BLOCK, WEIGHT = 4096, 2_000_000
+#: Size of the bitmap of candidates that is broadcast, at most (2^26 bits are 8 MB).
+MOST_BITS = 26
 
 _SEEDS = scramble(np.arange(1, CHUNKS * WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -91,44 +94,156 @@ def _keyed(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "symbols").mapInArrow(run, "cls binary, key long")
 
 
-def _texts(docs: DataFrame, n: int, text: str) -> DataFrame:
-    """(cls, text) of each document; a task gives the text of a class once, so that a class with many copies has a row a task."""
+def _places(cls: list[bytes], bits: int) -> np.ndarray:
+    """rows x 2: a class's bits in a bitmap; the digest itself is the hash."""
+    return (np.frombuffer(b"".join(cls), np.uint64).reshape(-1, 2) % np.uint64(bits)).astype(np.int64)
+
+
+def _bitmap(classes: DataFrame) -> np.ndarray:
+    """A bitmap that has all classes, of 2^MOST_BITS bits at most: what is not in it need not be shuffled. It only saves work: when it
+    is too full to tell, everything passes and the join decides."""
+    bits = 1 << min(MOST_BITS, max(16, (12 * classes.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(bits, bool)
+        for batch in batches:
+            if len(batch):
+                out[_places(batch.column(0).to_pylist(), bits).ravel()] = True
+        yield pa.record_batch([pa.array([np.packbits(out).tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    for row in classes.select("cls").coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(bytes(row.bits), np.uint8)
+    return out
+
+
+def _sets(docs: DataFrame, n: int, text: str, wanted: np.ndarray) -> DataFrame:
+    """(cls, shingles) of each document whose class may be in the bitmap; a task gives the set of a class once, so that a class with
+    many copies has a row a task."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for part, texts in slices(batches, 0):
-            cls, pick = [], []
-            for i, s in enumerate(shingle_sets(texts, n)):
-                c = blake2b(s.tobytes(), digest_size=16).digest()
-                if len(s) and c not in seen:
-                    seen.add(c)
-                    cls.append(c)
-                    pick.append(i)
-            yield pa.record_batch([pa.array(cls, pa.binary()), part.column(0).take(pa.array(pick, pa.int64()))], ["cls", "text"])
+        bitmap = shared.value
+        for _, texts in slices(batches, 0):
+            sets = [s for s in shingle_sets(texts, n) if len(s)]
+            cls = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            at = _places(cls, len(bitmap) * 8)
+            may = ((bitmap[at >> 3] >> (7 - (at & 7))) & 1).all(axis=1)
+            pick = [i for i in np.flatnonzero(may) if cls[i] not in seen and not seen.add(cls[i])]
+            yield pa.record_batch([pa.array([cls[i] for i in pick], pa.binary()), pa.array([sets[i].tobytes() for i in pick], pa.binary())], ["cls", "shingles"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "cls binary, shingles binary")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of the first columns (all but the last two), from rows that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        change = np.zeros(len(batch) + 1, bool)
+        change[[0, -1]] = True
+        for column in batch.columns[:-2]:
+            x = np.array(column.to_pylist(), object)
+            change[1:-1] |= x[1:] != x[:-1]
+        cuts = np.flatnonzero(change)
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == 0 and held and all(c[0] == h[-1] for c, h in zip(batch.columns[:-2], held[-1].columns[:-2], strict=True)):
+                held.append(batch.slice(0, z))
+                continue
+            if held:
+                yield pa.Table.from_batches(held)
+            held = [batch.slice(a, z - a)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _dealt(rows: DataFrame, by: list[str], size: str, most: int) -> DataFrame:
+    """rows with unit: groups by columns whose size is over most are split into blocks by hash, and each pair of blocks is a unit."""
+    blocks = F.ceil(F.col(size) / most).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(3), "cls"), blocks).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(own, j) * blocks + F.greatest(own, j))
+    return rows.withColumn("unit", F.explode(F.when(blocks > 1, pair).otherwise(F.array(F.lit(0)))))
+
+
+def _near(members: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the members (key, unit, cls, symbols) of a key as their pairs under the distance threshold do."""
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "cls binary, text string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[bytes, bytes]] = []
+        for group in _groups(batches):
+            cls = group.column("cls").to_pylist()
+            symbols = np.frombuffer(b"".join(group.column("symbols").to_pylist()), np.uint16).reshape(len(cls), -1)
+            left = np.arange(len(cls))
+            while len(left):
+                first, left = left[0], left[1:]
+                todo = [first]
+                while todo and len(left):
+                    x = todo.pop()
+                    close = (symbols[left] != symbols[x]).sum(axis=1) <= DISTANCE
+                    found = left[close]
+                    todo += found.tolist()
+                    out += [(cls[i], cls[first]) for i in found]
+                    left = left[~close]
+            if len(out) > 50_000:
+                yield pa.record_batch([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
+                out = []
+        if out:
+            yield pa.record_batch([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
+
+    return members.select("key", "unit", "cls", "symbols").repartition("key", "unit").sortWithinPartitions("key", "unit").mapInArrow(run, "a binary, b binary")
+
+
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the smallest index it is connected to by links (100 * intersection >= percent * union), exactly.
+
+    A row of intersection sizes comes from the postings of the set's shingles. Rows are needed only for sets outside the largest
+    component: two sets that are not connected are not both in it.
+    """
+    m = len(sets)
+    size = np.array([len(s) for s in sets])
+    shingles, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(m), size)
+    order = np.argsort(inverse, kind="stable")
+    postings, ends = owner[order], np.cumsum(np.bincount(inverse, minlength=len(shingles)))
+    starts = np.concatenate([[0], ends[:-1]])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    root, done = np.arange(m), np.zeros(m, bool)
+    # The set whose shingles are most common is likely the one that the others were made from.
+    common = np.add.reduceat((ends - starts)[inverse], bounds[:-1]) / size
+    following = np.argsort(-common, kind="stable")
+    largest = -1
+    for i in following:
+        if root[i] == largest or done[i]:
+            continue
+        done[i] = True
+        own = inverse[bounds[i] : bounds[i + 1]]
+        shared = np.bincount(np.concatenate([postings[starts[k] : ends[k]] for k in own]), minlength=m)
+        for r in np.unique(root[100 * shared >= percent * (size + size[i] - shared)]):
+            low, high = min(r, root[i]), max(r, root[i])
+            if low != high:
+                root[root == high] = low
+        largest = np.bincount(root, minlength=m).argmax()
+    return root
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets have 100 * intersection >= percent * union."""
-    sides = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
+def _confirmed(sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect the classes (clump, unit, cls, shingles) of a unit as their links do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, left in slices(batches, 2, 2 << 20):
-            right = [x or b"" for x in part.column(3).cast(pa.large_binary()).to_pylist()]
-            sets: dict[bytes, np.ndarray] = dict.fromkeys([*left, *right], None)
-            sets = dict(zip(sets, shingle_sets(list(sets), n), strict=True))
-            good = []
-            for x, y in zip(left, right, strict=True):
-                s, t = sets[x], sets[y]
-                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
-                    good.append(False)
-                    continue
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(100 * common >= percent * (len(s) + len(t) - common))
-            yield part.select(["a", "b"]).filter(pa.array(good))
-
-    return sides.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+        out: list[tuple[bytes, bytes]] = []
+        for group in _groups(batches):
+            cls = group.column("cls").to_pylist()
+            root = linked([np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()], percent)
+            out += [(cls[i], cls[r]) for i, r in enumerate(root) if i != r]
+            if len(out) > 50_000:
+                yield pa.record_batch([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
+                out = []
+        if out:
+            yield pa.record_batch([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
+
+    return sets.select("clump", "unit", "cls", "shingles").repartition("clump", "unit").sortWithinPartitions("clump", "unit").mapInArrow(run, "a binary, b binary")
 
 
 def link(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -138,61 +253,34 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key
     the component). Texts without words, null ones included, are linked with nothing: their component_id is their own key. Repeated
     rows and texts with equal sets are one component. An empty table gives no rows.
 
-    Texts with equal sets are one class. Classes whose signatures share a key of the multi-index are candidates: every pair under
-    the signature-distance threshold of 2 * CHUNKS symbols is one, and a pair with 80 % likeness fails to be with a probability
-    under 1e-8. Candidates are confirmed on their full sets. So that a group of g copies needs about g confirmations and not g^2,
-    each class is first held against the pivot it shares most keys with; after that, only candidates that are not connected yet are
-    tried, all of them in the last step.
+    Texts with equal sets are one class. The multi-index Hamming join finds all pairs of classes whose signatures differ in at most
+    DISTANCE symbols (a pair with 80 % likeness differs in more with a probability under 1e-5, one with 85 % of about 1e-8); its pairs
+    are not spelled out but kept as the groups that they connect. Within a group the links are found on the full sets, all of them,
+    so that g copies give g rows and not g^2. Keys and groups that are large are split into blocks, pair of blocks by pair of blocks.
     """
     sketch = written(sketched(docs, n, text, key), "sketch")
-    classes = sketch.where("cls is not null").groupBy("cls").agg(F.first("symbols").alias("symbols"))
+    classes = sketch.where("cls is not null").groupBy("cls").agg(F.first("symbols").alias("symbols"), F.first("n_shingles").alias("n"))
+    classes = written(classes, "classes")
     keyed = written(_keyed(classes), "keys")
     shared = written(keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "shared")
-    members = written(keyed.join(shared, "key").select("key", "cls"), "members")
-    texts = written(_texts(docs, n, text).join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text")), "texts")
+    members = keyed.join(shared, "key").join(classes.select("cls", "symbols"), "cls")
+    near = written(_near(_dealt(members, ["key"], "held", BLOCK)), "near")
+    drop_written(keyed)
     roots = None
-    links = []
-    count = members.count()
-    turn = 0
-    while count:
-        placed = members.withColumn("root", F.col("cls")) if roots is None else members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        if turn:
-            placed = written(placed, "placed")
-        spread = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(turn), "cls").alias("h"), "cls", "root")).alias("pivot"))
-        open_keys = written(spread.where("lo <> hi").select("key", "pivot"), "open")
-        if turn:
-            sizes = placed.join(open_keys.select("key"), "key", "left_semi").groupBy("key", "root").agg(F.count("*").alias("g"))
-            per_key = written(sizes.groupBy("key").agg(F.sum("g").alias("all"), F.max(F.struct("g", "root")).alias("most")), "per_key")
-            work = per_key.agg(F.sum((F.col("all") - F.col("most.g")) * F.col("all"))).first()[0] or 0
-            if not work:
-                break
-            if work <= WORK * count or turn >= 8:
-                inside = placed.join(per_key, "key")
-                rest = inside.where("root <> most.root").select("key", F.col("cls").alias("a"), F.col("root").alias("ra"))
-                other = inside.select("key", F.col("cls").alias("b"), F.col("root").alias("rb"))
-                pairs = rest.join(other, "key").where("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                links.append(written(_confirmed(written(pairs, "pairs"), texts, n, percent), "links"))
-                roots = written(components(_union(links)), "roots")
-                break
-        near = placed.join(open_keys, "key").where("root <> pivot.root").groupBy("cls", F.col("pivot.cls").alias("p")).agg(F.count("*").alias("k"))
-        best = near.groupBy("cls").agg(F.max(F.struct("k", "p")).alias("x")).select(F.col("cls").alias("a"), F.col("x.p").alias("b"))
-        links.append(written(_confirmed(written(best, "pairs"), texts, n, percent), "links"))
-        roots = written(components(_union(links)), "roots")
-        turn += 1
-    placed = sketch if roots is None else sketch.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    if near.limit(1).count():
+        clumps = written(components(near).select(F.col("node").alias("cls"), F.col("root").alias("clump")), "clumps")
+        weights = written(clumps.join(classes.select("cls", "n"), "cls").groupBy("clump").agg(F.sum("n").alias("weight")), "weights")
+        sets = _sets(docs, n, text, _bitmap(clumps)).join(clumps, "cls").groupBy("cls").agg(F.first("shingles").alias("shingles"), F.first("clump").alias("clump"))
+        links = written(_confirmed(_dealt(sets.join(weights, "clump"), ["clump"], "weight", WEIGHT), percent), "links")
+        if links.limit(1).count():
+            roots = written(components(links), "roots").withColumnRenamed("node", "cls")
+    placed = sketch if roots is None else sketch.join(roots, "cls", "left")
     placed = placed.select("key", "n_shingles", (F.col("cls") if roots is None else F.coalesce("root", "cls")).alias("root"))
     least = written(placed.where("root is not null").groupBy("root").agg(F.min("key").alias("component_id")), "least")
     joined = placed.join(least, "root", "left")
     return joined.select(F.col("key").alias(key), "n_shingles", F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out
-
-
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component stays: that with the smallest doc_id (one of them, if rows with it repeat); its columns are those of docs."""
     found = link(docs, n, percent)
