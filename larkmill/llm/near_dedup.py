@@ -282,10 +282,12 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component stays: that with the smallest doc_id (one of them, if rows with it repeat); its columns are those of docs."""
-    found = link(docs, n, percent)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component stays: that with the smallest doc_id (one of them, if rows with it repeat); its columns are those of
+    docs. Rows without a doc_id are told apart by their texts alone: one of each text stays."""
+    found = link(docs.where("doc_id is not null"), n, percent)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,6 +155,7 @@ def test_near_dedup(docs, empty, n):
     assert near_dedup.link(empty, n).collect() == []
     kept = near_dedup.deduplicated(docs, n)
     assert kept.columns == docs.columns
+    assert near_dedup.deduplicated(docs.selectExpr("cast(null as long) as doc_id", "text"), n).count() == len({t for _, t in texts()})
     assert sorted(r.doc_id for r in kept.collect()) == sorted({min(ids[x] for x in range(len(ids)) if root[x] == root[d]) for d in range(len(ids))})
 
 
