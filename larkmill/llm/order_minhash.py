@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkmill.llm.base import documents, words_column, written
+from larkmill.llm.base import documents, drop_written, words_column, written
 
 #: Words of a k-mer; components of a fingerprint (a power of two, at most 256); k-mers of a component.
 K, COMPONENTS, TUPLE = 2, 64, 2
@@ -148,22 +148,27 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     counts as empty. Of equal rows, each but the last has an equal one as its next. A single document is its own next.
     """
     around = written(neighbours(docs, key, text), "around")
-    whole = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")).withColumn("rid", F.struct("key", F.xxhash64("text").alias("h")))
+    whole = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    # With the type that rid has in written tables; else joins would cast it and deal the texts out once more.
+    whole = whole.withColumn("rid", F.struct("key", F.xxhash64("text").alias("h")).cast(around.schema["rid"].dataType))
     prints = written(whole.select("rid", codes(F.col("text")).alias("codes")).groupBy("rid").agg(F.first("codes").alias("codes")), "codes")
-    one = whole.groupBy("rid").agg(F.first("text").alias("text"))
+    nexts = prints.select(F.col("rid").alias("after"), F.col("codes").alias("next_codes"))
+    light = written(around.join(nexts, "after").join(prints, "rid").select("rid", "copies", "before", "before_chars", "codes", "next_codes"), "light")
+    drop_written(prints)
+    one = whole.groupBy("rid").agg(F.max("text").alias("text"))
     half = F.floor(F.col("before_chars") / 2).cast("int")
-    given = one.join(around, "rid").select(F.col("before").alias("rid"), F.substring("text", F.lit(1), half).alias("given"))
-    base = one.join(around, "rid").join(given, "rid")
+    given = one.join(light.select("rid", "before", "before_chars"), "rid").select(F.col("before").alias("rid"), F.substring("text", F.lit(1), half).alias("given"))
+    base = one.join(light.drop("before", "before_chars"), "rid").join(given, "rid")
     n = F.length("text")
-    edit = lambda other, long: F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), other)
     # Rows that have an equal one after them, then the last of each.
     kinds = F.when(F.col("copies") > 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-    made = base.select("rid", "copies", "after", n.cast("long").alias("n_chars"), F.col("text"), "given", F.explode(kinds).alias("self"))
-    own_half = F.substring("text", F.lit(1), F.floor(F.col("n_chars") / 2).cast("int"))
-    made = made.select("rid", "n_chars", F.when(F.col("self"), F.col("rid")).otherwise(F.col("after")).alias("after"), F.when(F.col("self"), F.col("copies") - 1).otherwise(1).alias("times"), edit(F.when(F.col("self"), own_half).otherwise(F.col("given")), n).alias("edited"))
-    made = made.withColumn("edited_codes", codes(F.col("edited")))
-    nexts = prints.select(F.col("rid").alias("after"), F.col("codes").alias("next_codes"))
-    out = made.join(prints, "rid").join(nexts, "after")
+    made = base.select("*", F.explode(kinds).alias("self"))
+    change = F.when(F.col("self"), F.substring("text", F.lit(1), F.floor(n / 2).cast("int"))).otherwise(F.col("given"))
+    edited = F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), change)
+    times = F.when(F.col("self"), F.col("copies") - 1).otherwise(1)
+    next_codes = F.when(F.col("self"), F.col("codes")).otherwise(F.col("next_codes"))
+    out = made.select("rid", n.cast("long").alias("n_chars"), "codes", next_codes.alias("next_codes"), times.alias("times"), edited.alias("edited"))
+    out = out.withColumn("edited_codes", codes(F.col("edited")))
     return out.select(
         F.col("rid.key").alias(key),
         "n_chars",
