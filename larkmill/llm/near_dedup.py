@@ -198,8 +198,9 @@ def _near(members: DataFrame) -> DataFrame:
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set the smallest index it is connected to by links (100 * intersection >= percent * union), exactly.
 
-    A row of intersection sizes comes from the postings of the set's shingles. Rows are needed only for sets outside the largest
-    component: two sets that are not connected are not both in it.
+    A row of intersection sizes comes from the postings of the set's shingles. Rows are needed only for sets outside one component,
+    the largest at the end: two sets that are not connected are not both in it. A set that is passed over because it is in what is
+    the largest so far is taken up later if another component ends as the largest.
     """
     m = len(sets)
     size = np.array([len(s) for s in sets])
@@ -214,17 +215,19 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     common = np.add.reduceat((ends - starts)[inverse], bounds[:-1]) / size
     following = np.argsort(-common, kind="stable")
     largest = -1
-    for i in following:
-        if root[i] == largest or done[i]:
-            continue
-        done[i] = True
-        own = inverse[bounds[i] : bounds[i + 1]]
-        shared = np.bincount(np.concatenate([postings[starts[k] : ends[k]] for k in own]), minlength=m)
-        for r in np.unique(root[100 * shared >= percent * (size + size[i] - shared)]):
-            low, high = min(r, root[i]), max(r, root[i])
-            if low != high:
-                root[root == high] = low
-        largest = np.bincount(root, minlength=m).argmax()
+    while len(following):
+        for i in following:
+            if root[i] == largest:
+                continue
+            done[i] = True
+            own = inverse[bounds[i] : bounds[i + 1]]
+            shared = np.bincount(np.concatenate([postings[starts[k] : ends[k]] for k in own]), minlength=m)
+            for r in np.unique(root[100 * shared >= percent * (size + size[i] - shared)]):
+                low, high = min(r, root[i]), max(r, root[i])
+                if low != high:
+                    root[root == high] = low
+            largest = np.bincount(root, minlength=m).argmax()
+        following = following[~done[following] & (root[following] != largest)]
     return root
 
 

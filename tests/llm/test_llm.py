@@ -6,6 +6,7 @@ import random
 import zlib
 from array import array
 from collections import Counter, defaultdict
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -173,6 +174,30 @@ def test_linked_is_exact():
     assert near_dedup.linked(sets, 80).tolist() == want
 
 
+def test_linked_in_every_order():
+    def exact(sets):
+        root = list(range(len(sets)))
+        for a in range(len(sets)):
+            for b in range(a):
+                k = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * k >= 80 * (len(sets[a]) + len(sets[b]) - k):
+                    low, high = min(root[a], root[b]), max(root[a], root[b])
+                    root = [low if x == high else x for x in root]
+        return root
+
+    def family(at):  # a text, its first and last four fifths, which only the whole links, and its middle
+        return [np.arange(at + a, at + z, dtype=np.uint64) for a, z in ((0, 100), (0, 80), (20, 100), (20, 80))]
+
+    for order in permutations(family(0)):
+        assert near_dedup.linked(list(order), 80).tolist() == exact(order)
+    r = random.Random(4)
+    for gap in (10, 11, 12, 40, 100):  # two families, bridged or not
+        sets = [*family(0), *family(gap), np.arange(gap // 2, gap // 2 + 100, dtype=np.uint64)]
+        for _ in range(60):
+            r.shuffle(sets)
+            assert near_dedup.linked(sets, 80).tolist() == exact(sets)
+
+
 def test_keys_hold_the_guarantee():
     r = np.random.default_rng(5)
     for _ in range(200):
