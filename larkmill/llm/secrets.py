@@ -16,8 +16,8 @@ from larkmill.llm.base import documents, words_column
 #: A candidate: at least 12 letters, digits and + / _ - in a row, from the start of such a run, with two digits among them.
 _RUN = r"[A-Za-z0-9+/_\-]{12,}={0,2}"
 _MAY_HOLD = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9][A-Za-z+/_\-]*[0-9])" + _RUN
-#: Optional name before the candidate in the same word, and the candidate.
-_PARTS = r"^([^A-Za-z0-9]*[A-Za-z][A-Za-z0-9_.\-]{1,40}[\"']?\s*(?:=|:)+>?)?[\"'(\[{<]*(" + _RUN + r")"
+#: The name directly before a candidate, at the end of what its word has before it.
+_NAME = r"(?:^|[^A-Za-z0-9_.\-])[_.\-]*([A-Za-z][A-Za-z0-9_.\-]{1,40}[\"']?[=:]+>?)[\"'(\[{<]*$"
 #: Words that name what follows as secret, and words that name it as something else.
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "auth", "bearer", "credential", "private_key", "access_key", "client_secret")
 OTHER_WORDS = ("commit", "sha1", "sha256", "md5", "checksum", "hash", "digest", "revision", "uuid", "guid", "id", "order", "invoice", "isbn", "phone", "version", "build", "example", "sample", "serial", "ticket")
@@ -40,7 +40,8 @@ def _any(words: Sequence[str]) -> str:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<name, value, near, after>>: each candidate of the text with its own name, the three words before, and the next.
+    """array<struct<name, value, near, after>>: each candidate of the text, all of a word's included, with the name directly before it
+    in its word, the three words before, and the next.
 
     A text without a candidate is told apart by one pattern match; only the others are split into words.
     """
@@ -48,14 +49,20 @@ def candidates(text: Column) -> Column:
     def of(words: Column) -> Column:
         found = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].rlike(_MAY_HOLD))
 
-        def one(x: Column) -> Column:
+        def each(x: Column) -> Column:
             before = [F.coalesce(F.get(words, F.greatest(x["i"] - k, F.lit(0))), F.lit("")) for k in (3, 2, 1)]
             near = F.when(x["i"] == 0, F.lit("")).otherwise(F.lower(F.concat_ws(" ", *before)))
-            value = F.regexp_extract(x["w"], _PARTS, 2)
-            loose = F.regexp_extract(x["w"], _MAY_HOLD.replace("(?=", "(?:(?=", 1) + ")", 0)
-            return F.struct(F.lower(F.regexp_extract(x["w"], _PARTS, 1)).alias("name"), F.when(value.rlike(r"[0-9].*[0-9]"), value).otherwise(loose).alias("value"), near.alias("near"), F.lower(F.coalesce(F.get(words, x["i"] + 1), F.lit(""))).alias("after"))
+            after = F.lower(F.coalesce(F.get(words, x["i"] + 1), F.lit("")))
+            word = F.struct(F.regexp_extract_all(x["w"], F.lit(_MAY_HOLD), F.lit(0)).alias("runs"), F.split(x["w"], _MAY_HOLD, -1).alias("gaps"), near.alias("near"), after.alias("after"))
 
-        return F.filter(F.transform(found, one), lambda c: F.length(c["value"]) > 0)
+            def one(p: Column, value: Column, k: Column) -> Column:
+                gap, last = F.get(p["gaps"], k), k - 1
+                lead = F.when(k == 0, gap).otherwise(F.concat(F.get(p["gaps"], last), F.get(p["runs"], last), gap))
+                return F.struct(F.lower(F.regexp_extract(lead, _NAME, 1)).alias("name"), value.alias("value"), p["near"].alias("near"), p["after"].alias("after"))
+
+            return F.flatten(F.transform(F.array(word), lambda p: F.transform(p["runs"], lambda value, k: one(p, value, k))))
+
+        return F.flatten(F.transform(found, each))
 
     whole = F.element_at(F.transform(F.array(words_column(text)), of), 1)
     return F.when(F.coalesce(text, F.lit("")).rlike(_MAY_HOLD), whole)
