@@ -285,11 +285,13 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component stays: that with the smallest doc_id (one of them, if rows with it repeat); its columns are those of
-    docs. Rows without a doc_id are told apart by their texts alone: one of each text stays."""
-    found = link(docs.where("doc_id is not null"), n, percent)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component stays: that with the smallest doc_id (of rows with it, that with the smallest digest of its text); its
+    columns are those of docs. Rows that share a doc_id are told apart by their texts. Rows without a doc_id are told apart by their
+    texts alone: one of each text stays."""
+    digest = F.coalesce(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), F.lit(b""))
+    rows = docs.where("doc_id is not null").withColumn("_row", F.struct("doc_id", digest.alias("digest")))
+    kept = link(rows, n, percent, key="_row").where("_row = component_id").select(F.col("_row").alias("_kept")).distinct()
+    named = rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"]).drop("_row")
     return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 

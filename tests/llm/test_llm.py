@@ -160,6 +160,13 @@ def test_near_dedup(docs, empty, n):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({min(ids[x] for x in range(len(ids)) if root[x] == root[d]) for d in range(len(ids))})
 
 
+def test_repeated_ids_keep_their_texts(spark):
+    one, two, three = (" ".join(words(60, seed, 10**6)) for seed in (31, 32, 33))
+    rows = [(1, one), (2, one), (2, two), (2, two + " more"), (2, None), (3, three), (3, three), (4, two)]
+    kept = [tuple(r) for r in near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 4 and {(1, one), (2, None), (3, three)} < set(kept) and {(2, two), (2, two + " more")} & set(kept)
+
+
 def test_linked_is_exact():
     r = np.random.default_rng(3)
     base = np.unique(r.integers(0, 1 << 60, 100).astype(np.uint64))
