@@ -1,9 +1,7 @@
 """The operators against brute-force versions, on small tables with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
-import math
 import os
 import random
-import zlib
 from array import array
 from collections import Counter, defaultdict
 from itertools import permutations
@@ -12,7 +10,7 @@ import numpy as np
 import pytest
 
 import larkmill.llm as llm
-from larkmill.llm import graph, media, mixing, near_dedup, order_minhash, pieces, quality_gam, secrets, substrings, suffix_tree, toxicity
+from larkmill.llm import graph, media, mixing, near_dedup, order_minhash, pieces, quality_gam, secrets, substrings, toxicity
 from larkmill.llm.base import words_column
 from larkmill.llm.words import hash_words
 
@@ -231,34 +229,6 @@ def test_components(spark):
     assert found == {**{i: 0 for i in range(41)}, 80: 80, 90: 80, 100: 80}
 
 
-def test_suffix_tree(docs, empty, spark):
-    train = [t for i, t in texts() if zlib.crc32(str(i).encode()) % 10]
-    counts = Counter(w for t in train for w in [*lower(t), None])
-    total, distinct = sum(counts.values()), len(counts)
-    out = docs.where("crc32(cast(doc_id as string)) % 10 <> 0").select("text")
-    tree, vocabulary = suffix_tree.train(out)
-    found = by_id(suffix_tree.score(docs, tree, vocabulary))
-    for i, t in texts():
-        w = [*lower(t), None]
-        base = sum(math.log10((counts[x] + 0.1) / (total + 0.1 * (distinct + 1))) for x in w)
-        assert (found[i][0].n_tokens, found[i][0].n_known) == (len(w), sum(counts[x] > 0 for x in w))
-        assert found[i][0].base_score == pytest.approx(base)
-    assert tree.levels and all(len(v.keys) for v in tree.levels[:1])
-    for level in tree.levels:  # what follows a state adds up to one
-        shares = np.bincount((level.nexts >> 32).astype(int), 10**level.logs, len(level.keys))
-        assert (shares <= 1 + 1e-9).all()
-    ids = tree.ids(suffix_tree.tokens([b"a a"])[0])
-    first = np.array([True, False, False])
-    every = np.arange(len(tree.words))
-    after = sum(10 ** tree.logs(np.array([ids[0], x]), first[:2])[1] for x in every)
-    state = tree.states(np.array([ids[0], ids[0]]), first[:2])[0][1]
-    rest = 10 ** (tree.levels[0].back[state]) * (0.1 / (total + 0.1 * (distinct + 1))) if state >= 0 else 0.1 / (total + 0.1 * (distinct + 1))
-    assert after + rest == pytest.approx(1)
-    none, words_ = suffix_tree.train(empty.select("text"))
-    assert suffix_tree.score(empty, none, words_).collect() == []
-    assert suffix_tree.score(docs, none, words_).where("doc_id = 5").first().base_score == 0
-
-
 def test_mixing(docs, empty, spark):
     found = mixing.mix(docs).collect()
     sizes = Counter()
