@@ -17,6 +17,7 @@ SPACE = " \t\n\x0b\f\r"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _written: list[str] = []
+_tables: dict[str, str] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,24 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, by: str) -> DataFrame:
+    """df as a table in the shared folder, dealt by the column by: tables of as many buckets are joined and grouped by it without a shuffle."""
+    spark = df.sparkSession
+    path, table = f"{shared_dir(spark)}/larkmill-{uuid.uuid4().hex}/{name}", f"larkmill_{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, by).saveAsTable(table)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    _written.append(path)
+    _tables[path] = table
+    return spark.table(table)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within it, plans hand batches of that many rows at most to Python: for columns of large binaries."""
@@ -86,6 +105,8 @@ def release(spark: SparkSession) -> None:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
     p = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
