@@ -111,6 +111,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free(name: str, df: DataFrame) -> str:
+    """name, with underscores before it until df has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int, max_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Sub-batches of about max_bytes of the column at index text (one row at least), with its values as bytes, null as b""."""
     for batch in batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkmill.llm.base import documents, drop_written, slices, written
+from larkmill.llm.base import documents, drop_written, free, slices, written
 from larkmill.llm.graph import components
 from larkmill.llm.words import hash_words, scramble
 
@@ -21,7 +21,7 @@ ERRORS = 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Members of a key, and shingles of a group of candidates, in one block.
 BLOCK, WEIGHT = 4096, 2_000_000
-#: Size of the bitmap of candidates that is broadcast, at most (2^26 bits are 8 MB).
+#: Size of the bitmap of candidates that is broadcast, at most (2^26 bits are 8 MB), with 12 bits for each.
 MOST_BITS = 26
 
 _SEEDS = scramble(np.arange(1, CHUNKS * WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
@@ -99,10 +99,9 @@ def _places(cls: list[bytes], bits: int) -> np.ndarray:
     return (np.frombuffer(b"".join(cls), np.uint64).reshape(-1, 2) % np.uint64(bits)).astype(np.int64)
 
 
-def _bitmap(classes: DataFrame) -> np.ndarray:
-    """A bitmap that has all classes, of 2^MOST_BITS bits at most: what is not in it need not be shuffled. It only saves work: when it
-    is too full to tell, everything passes and the join decides."""
-    bits = 1 << min(MOST_BITS, max(16, (12 * classes.count()).bit_length()))
+def _bitmap(classes: DataFrame, number: int) -> np.ndarray:
+    """A bitmap that has all classes, of which there are number: texts whose class is not in it need not be shuffled."""
+    bits = 1 << max(16, (12 * number).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(bits, bool)
@@ -117,9 +116,18 @@ def _bitmap(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, n: int, text: str, wanted: np.ndarray) -> DataFrame:
-    """(cls, shingles) of each document whose class may be in the bitmap; a task gives the set of a class once, so that a class with
-    many copies has a row a task."""
+def _sets(docs: DataFrame, n: int, text: str, key: str, sketch: DataFrame, clumps: DataFrame) -> DataFrame:
+    """(cls, shingles) of each document whose class is in clumps, and of some others; a task gives the set of a class once, so that a
+    class with many copies has a row a task.
+
+    Few classes are told by a bitmap within the scan. If they are too many for one, one document of each is joined by its key.
+    """
+    number = clumps.count()
+    wanted = _bitmap(clumps, number) if 12 * number < 1 << MOST_BITS else np.full(1, 255, np.uint8)
+    if 12 * number >= 1 << MOST_BITS:
+        one = sketch.join(clumps, "cls", "left_semi").groupBy("cls").agg(F.first("key").alias("key")).select("key").distinct()
+        docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(one.withColumnRenamed("key", "wanted"), F.col("key").eqNullSafe(F.col("wanted")), "left_semi")
+        text = "text"
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +281,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key
     if near.limit(1).count():
         clumps = written(components(near).select(F.col("node").alias("cls"), F.col("root").alias("clump")), "clumps")
         weights = written(clumps.join(classes.select("cls", "n"), "cls").groupBy("clump").agg(F.sum("n").alias("weight")), "weights")
-        sets = _sets(docs, n, text, _bitmap(clumps)).join(clumps, "cls").groupBy("cls").agg(F.first("shingles").alias("shingles"), F.first("clump").alias("clump"))
+        sets = _sets(docs, n, text, key, sketch, clumps).join(clumps, "cls").groupBy("cls").agg(F.first("shingles").alias("shingles"), F.first("clump").alias("clump"))
         links = written(_confirmed(_dealt(sets.join(weights, "clump"), ["clump"], "weight", WEIGHT), percent), "links")
         if links.limit(1).count():
             roots = written(components(links), "roots").withColumnRenamed("node", "cls")
@@ -287,11 +295,13 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component stays: that with the smallest doc_id (of rows with it, that with the smallest digest of its text); its
     columns are those of docs. Rows that share a doc_id are told apart by their texts. Rows without a doc_id are told apart by their
-    texts alone: one of each text stays."""
+    texts alone: one of each text stays. Texts without words are linked with nothing and stay, repeated rows of them once."""
     digest = F.coalesce(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), F.lit(b""))
-    rows = docs.where("doc_id is not null").withColumn("_row", F.struct("doc_id", digest.alias("digest")))
-    kept = link(rows, n, percent, key="_row").where("_row = component_id").select(F.col("_row").alias("_kept")).distinct()
-    named = rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"]).drop("_row")
+    row = free("row", docs)
+    rows = docs.where("doc_id is not null").withColumn(row, F.struct("doc_id", digest.alias("digest")))
+    linked_ = link(rows.select(F.col(row).alias("row"), "text"), n, percent, key="row")
+    kept = linked_.where("row = component_id").select(F.col("row").alias(row)).distinct()
+    named = rows.join(kept, row, "left_semi").dropDuplicates([row]).select(*docs.columns)
     return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 
@@ -301,4 +311,23 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_near_dedup": op10_near_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op10_near_dedup": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) END AS s FROM words
+), sized AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+each AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id JOIN sized m ON m.doc_id = a.doc_id JOIN sized n ON n.doc_id = b.doc_id
+  WHERE 100 * least(m.n, n.n) >= 80 * greatest(m.n, n.n)
+  GROUP BY a.doc_id, b.doc_id, m.n, n.n HAVING 100 * count(*) >= 80 * (m.n + n.n - count(*))
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT sized.doc_id, sized.n AS n_shingles, least.component_id, sized.doc_id = least.component_id AS kept FROM sized JOIN least ON least.x = sized.doc_id"""
+}
