@@ -70,7 +70,7 @@ def unfilter(lines: np.ndarray, step: int) -> np.ndarray:
 
 
 def _by_sample(row: np.ndarray, above: np.ndarray, step: int, kind: int) -> None:
-    """Average and Paeth rows need the sample before, so they go sample by sample."""
+    """Average and Paeth rows need the sample before, so they go sample by sample. write_png makes none; they come in foreign images."""
     up, line = above.tolist(), row.tolist()
     for i, x in enumerate(line):
         a, b = line[i - step] if i >= step else 0, up[i]
@@ -97,6 +97,8 @@ def read_png(data: bytes) -> np.ndarray:
         if len(body) < n or struct.pack(">I", zlib.crc32(body, zlib.crc32(kind))) != data[at + 8 + n : at + 12 + n]:
             raise MediaError("checksum")
         if kind == b"IHDR":
+            if n != 13 or head is not None:
+                raise MediaError("header")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             packed.append(body)
@@ -108,11 +110,13 @@ def read_png(data: bytes) -> np.ndarray:
     channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour, 0)
     if depth != 8 or not channels or any(rest):
         raise MediaError("only 8-bit samples without palette and interlace")
-    try:
-        raw = zlib.decompress(b"".join(packed))
+    size = height * (width * channels + 1)
+    unpacker = zlib.decompressobj()
+    try:  # never more than the header says, whatever the stream holds
+        raw = unpacker.decompress(b"".join(packed), size + 1)
     except zlib.error as e:
         raise MediaError("stream") from e
-    if len(raw) != height * (width * channels + 1):
+    if not width or not height or len(raw) != size or not unpacker.eof:
         raise MediaError("size")
     lines = np.frombuffer(raw, np.uint8).reshape(height, width * channels + 1)
     return unfilter(lines, channels).reshape(height, width, channels)
