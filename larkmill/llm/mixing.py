@@ -18,6 +18,8 @@ WEIGHTS, SHARE, COPIES = (5.0, 2.0, 1.0), 1.5, 2
 BUCKET = 512
 #: Longest length that dynamic programming takes (its tables have up to four times as many entries).
 MOST = 1 << 22
+#: Budget up to which all of a source may be fitted by dynamic programming.
+SMALL = 1 << 16
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], total: float, most: float = COPIES) -> list[float]:
@@ -44,7 +46,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = MOST)
 
     A proportional part of every length first, long ones before short ones with the rounding carried on; then lengths over most as
     often as they fit; then bounded-knapsack dynamic programming over what is left of the others for the remaining budget. Its tables
-    have at most four times most entries, however long the documents are. Last, one more document is taken if that is nearer.
+    have at most four times most entries, however long the documents are. Last, one more document is taken if that is nearer. Where a
+    source has so few documents that this misses a small budget, dynamic programming over all of them is tried, which cannot miss.
     """
     taken = np.zeros(len(lengths), np.int64)
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
@@ -76,6 +79,11 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = MOST)
         nearest = left[np.argmin(np.abs(lengths[left] - rest))] if len(left) else -1
         if nearest >= 0 and abs(int(lengths[nearest]) - rest) < rest:
             taken[nearest] += 1
+    off = abs(budget - int((taken * lengths).sum()))
+    if off and budget <= SMALL and lengths[use[0]] <= SMALL:
+        whole = knapsack(lengths, counts, budget, use, int(lengths[use[0]]))
+        if abs(budget - int((whole * lengths).sum())) < off:
+            return whole
     return taken
 
 
@@ -160,7 +168,7 @@ def mixed_documents(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken (words, repeats counted)."""
+    """Per document: doc_id, size, source_size, target, taken (words, repeats counted); see mix() for nulls, ties and empty texts."""
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -178,9 +178,14 @@ def sample_labels(marked: DataFrame, label: str, skip_mod: int, skip_value: int,
 
 
 def train(docs: DataFrame, marked: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Gam:
-    """Fits on sample labelled rows at most (so that many features reach the driver), never on those whose crc32(doc_id) mod 4 is 2."""
+    """Fits on sample labelled rows at most (so that many features reach the driver), never on those whose crc32(doc_id) mod 4 is 2.
+
+    Null labels and doc_ids are left out, equal doc_ids in labels count by the largest label, repeated rows of documents are rows each,
+    null texts are empty. Without rows of both labels every score is the share of label 1 (0.5 without any).
+    """
     chosen = F.broadcast(sample_labels(marked, label, 4, 2, sample))
-    rows = described(docs.join(chosen, "doc_id"), keep=("doc_id", "label")).toPandas().sort_values("doc_id", kind="stable")
+    rows = described(docs.select("doc_id", "text").join(chosen, "doc_id"), keep=("doc_id", "label"))
+    rows = rows.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", "features").limit(sample).toPandas()
     x = np.array(rows.features.tolist(), float).reshape(len(rows), len(FEATURES))
     return fit(x, rows.label.to_numpy(float))
 

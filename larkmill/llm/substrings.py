@@ -17,6 +17,8 @@ from larkmill.llm.words import hash_words, rolling, scramble
 
 #: Words of a window, and period of the cover; an anchor has WINDOW - PERIOD + 1 words.
 WINDOW, PERIOD = 35, 21
+#: Classes of equal texts that are broadcast, at most: those with more copies than this part of all copies.
+HOT_CLASSES = 10_000
 _SECOND = 0xD6E8FEB86659FD93
 _SECOND_INVERSE = pow(_SECOND, -1, 1 << 64)
 
@@ -123,8 +125,8 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterato
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _with_class(docs: DataFrame, distinct: bool) -> DataFrame:
-    """(cls, n_words and the columns of docs); distinct: a task gives a class once."""
+def _with_class(docs: DataFrame, distinct: bool, least: int = 0) -> DataFrame:
+    """(cls, n_words and the columns of docs) of texts of least words or more; distinct: a task gives a class once."""
 
     at = docs.columns.index("text")
 
@@ -134,8 +136,8 @@ def _with_class(docs: DataFrame, distinct: bool) -> DataFrame:
             words, bounds, _, _ = hash_words(texts)
             cls = [_digest(words[a:z]) for a, z in zip(bounds, bounds[1:], strict=False)]
             out = pa.record_batch([pa.array(cls, pa.binary()), pa.array(np.diff(bounds).astype(np.int64)), *part.columns], ["cls", "n_words", *part.schema.names])
-            if distinct:
-                new = [i for i, c in enumerate(cls) if c not in seen and not seen.add(c)]
+            if distinct or least:
+                new = [i for i in np.flatnonzero(np.diff(bounds) >= least) if not distinct or (cls[i] not in seen and not seen.add(cls[i]))]
                 out = out.take(pa.array(new, pa.int64()))
             yield out
 
@@ -149,13 +151,14 @@ def _windows(marked: DataFrame, window: int, period: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, 1, 1 << 20):
             words, bounds, _, _ = hash_words(texts)
+            others = hash_words(texts, base=_SECOND)[0]
             hits = part.column(2).to_pylist()
             for i, digest in enumerate(part.column(0).to_pylist()):
                 own = words[bounds[i] : bounds[i + 1]]
                 at = _open_windows(np.array(hits[i], np.int64), len(own), window, period)
                 if len(at):
                     h1 = scramble(rolling(own, at, at + window))
-                    h2 = scramble(rolling(own, at, at + window, _SECOND, _SECOND_INVERSE))
+                    h2 = scramble(rolling(others[bounds[i] : bounds[i + 1]], at, at + window, _SECOND, _SECOND_INVERSE))
                     cls = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(at), np.int32)), pa.array([digest], pa.binary())).dictionary_decode()
                     yield pa.record_batch([*(pa.array(x.view(np.int64)) for x in (h1, h2, _place(digest, at))), cls, pa.array(at.astype(np.int32))], ["h1", "h2", "place", "cls", "at"])
 
@@ -174,19 +177,25 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     row. kept has the remaining words joined by one blank. Null and empty texts have no words and keep "". An empty table gives no rows.
 
     Texts of equal words are one class, all of whose words go if it has two rows. For the rest, any two equal windows have equal
-    anchors at some position that the cover marks in both; only windows with a repeated anchor are hashed (128 bits) and compared.
+    anchors at some position that the cover marks in both; only windows with a repeated anchor are hashed (two hashes of 64 bits over two hashes of each word) and compared.
     """
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     only = source.select("text")
     anchors = written(_repeated(_places(only, window, period), "anchor"), "anchors")
     hits = written(_anchors(only, window, period).join(anchors, "anchor").groupBy("cls").agg(F.collect_list("at").alias("hits")), "hits")
-    marked = written(_with_class(only, True).select("cls", "text").join(hits, "cls").groupBy("cls").agg(F.first("text").alias("text"), F.first("hits").alias("hits")), "marked")
+    marked = written(_with_class(only, True, window).select("cls", "text").join(hits, "cls").groupBy("cls").agg(F.first("text").alias("text"), F.first("hits").alias("hits")), "marked")
     drop_written(anchors)
     repeated = written(_repeated(_windows(marked, window, period), "h1", "h2"), "windows")
     gone = written(_windows(marked, window, period).select("h1", "h2", "cls", "at").join(repeated, ["h1", "h2"]).groupBy("cls").agg(F.collect_list("at").alias("gone")), "gone")
-    classes = _with_class(only, False).groupBy("cls").agg(F.count("*").alias("held")).where("held > 1")
+    classes = written(_with_class(only, False, window).groupBy("cls").agg(F.count("*").alias("held")).where("held > 1"), "classes")
     known = written(classes.join(gone, "cls", "full"), "known")
-    rows = _with_class(source, False).join(known, "cls", "left").select("key", "n_words", "text", F.coalesce("held", F.lit(1)).alias("held"), "gone")
+    # Rows of a class with many copies, all of whose words go, and texts shorter than a window need nothing from known: they are dealt evenly.
+    copies = classes.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+    hot = classes.where(F.col("held") > max(100, copies // HOT_CLASSES)).select("cls", F.lit(2).cast("long").alias("many"))
+    rows = _with_class(source, False).join(F.broadcast(hot), "cls", "left")
+    alone = F.col("many").isNotNull() | (F.col("n_words") < window)
+    rows = rows.withColumn("cls", F.when(alone, F.unhex(F.md5(F.concat(F.col("cls"), F.rand(3).cast("string").cast("binary"))))).otherwise(F.col("cls")))
+    rows = rows.join(known, "cls", "left").select("key", "n_words", "text", F.coalesce("many", "held", F.lit(1)).alias("held"), "gone")
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +223,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256."""
+    """Per document: doc_id, n_words, n_removed, kept_sha256. Null and empty texts have no words and the digest of no bytes; repeated rows
+    are each other's repeats."""
     return without_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from larkmill.llm.base import documents, held_out, labels, slices
 from larkmill.llm.quality_gam import sample_labels
 
-#: Labelled documents that the field is trained on, at most.
-SAMPLE = 6_000
+#: Labelled documents that the field is trained on, at most, and bytes of their texts together.
+SAMPLE, SAMPLE_BYTES = 6_000, 64 << 20
 #: Words that a task's table holds at most, besides those of the texts at hand.
 TABLE_WORDS = 200_000
 #: Words on each side of a labelled one in a training sequence.
@@ -279,12 +279,19 @@ def offending(text: bytes, probability: np.ndarray, least: float) -> list[tuple[
     return out
 
 
-def train(docs: DataFrame, marked: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Field:
-    """Learns from sample labelled documents at most (their texts reach the driver), never those whose crc32(doc_id) mod 3 is 1.
+def train(docs: DataFrame, marked: DataFrame, label: str = "toxic", sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Field:
+    """Learns from sample labelled documents at most, never those whose crc32(doc_id) mod 3 is 1.
+
+    Their whole texts reach the driver: the shortest first, as long as they are most_bytes together. Null labels and doc_ids are left
+    out, equal doc_ids in labels count by the largest label, repeated rows of documents are documents each, null texts are empty.
     """
     chosen = F.broadcast(sample_labels(marked, label, 3, 1, sample))
-    rows = docs.join(chosen, "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")).toPandas().sort_values("doc_id", kind="stable")
-    return learn([x.encode() for x in rows.text], [bool(x) for x in rows.label])
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").withColumn("size", F.octet_length("text"))
+    sizes = sorted(r.size_ for r in rows.select(F.col("size").alias("size_")).orderBy("size").limit(sample).collect())
+    fits = np.cumsum(sizes) <= most_bytes
+    longest = sizes[int(fits.sum()) - 1] if fits.any() else -1
+    rows = rows.where(F.col("size") <= longest).orderBy("doc_id", F.xxhash64("text")).limit(sample).select("label", "text").collect()
+    return learn([x.text.encode() for x in rows], [bool(x.label) for x in rows])
 
 
 def score(docs: DataFrame, model: Field, text: str = "text", key: str = "doc_id", least: float = 0.5) -> DataFrame:
@@ -309,10 +316,11 @@ def score(docs: DataFrame, model: Field, text: str = "text", key: str = "doc_id"
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted."""
+    """Per document: doc_id, held_out, score, predicted, offending (its toxic runs of words as "start-end", code points, joined by commas)."""
     docs = documents(spark, sf_dir)
     scored = score(docs, train(docs, labels(spark, sf_dir)))
-    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    offending = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), offending.alias("offending"))
 
 
 QUERIES = {"op9_toxicity": op9_toxicity}

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import blake2b
 from functools import lru_cache
 
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes from which on a word is hashed by a digest: sums modulo 2^64 can be equal for long words of a certain pattern.
+LONG = 64
 _GAPS = np.zeros(256, bool)
 _GAPS[list(b" \t\n\x0b\x0c\r")] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -41,11 +44,11 @@ def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int
     return (total[ends] - total[starts]) * powers(inverse, len(values) + 1)[starts]
 
 
-def hash_words(texts: Sequence[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, bytes]]:
+def hash_words(texts: Sequence[bytes], lower: bool = False, base: int = _BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, bytes]]:
     """(hashes of all words in order, bounds of each text's words, -, (starts, ends, joined bytes)).
 
     Words are what bytes.split() gives; lower: A-Z count as a-z. Equal words have equal hashes in every process; unequal ones
-    differ but for chance (2^-64 a pair). The words of text i are hashes[bounds[i]:bounds[i + 1]].
+    differ but for chance (2^-64 a pair; less with those of a second base). The words of text i are hashes[bounds[i]:bounds[i + 1]].
     """
     joined = b"\n".join([*texts, b""])
     data = np.frombuffer(joined, np.uint8)
@@ -55,5 +58,8 @@ def hash_words(texts: Sequence[bytes], lower: bool = False) -> tuple[np.ndarray,
     first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
     bounds = np.searchsorted(starts, first, "left")
     bytes_ = (_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
-    hashes = scramble(rolling(bytes_, starts, ends) + (ends - starts).astype(np.uint64)) if len(starts) else np.empty(0, np.uint64)
+    hashes = scramble(rolling(bytes_, starts, ends, base, pow(base, -1, 1 << 64)) + (ends - starts).astype(np.uint64)) if len(starts) else np.empty(0, np.uint64)
+    for i in np.flatnonzero(ends - starts > LONG):
+        word = joined[starts[i] : ends[i]]
+        hashes[i] = int.from_bytes(blake2b(word.lower() if lower else word, digest_size=8, key=base.to_bytes(8, "little")).digest(), "little")
     return hashes, bounds, first, (starts, ends, joined)
