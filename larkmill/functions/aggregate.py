@@ -9,7 +9,7 @@ from larkmill.errors import PlanProblem
 from larkmill.functions.kinds import Typed
 from larkmill.sql.tree import Call, Literal, Star
 
-NAMES = frozenset({"COUNT", "SUM", "AVG", "MIN", "MAX", "QUANTILE", "MEDIAN", "PERCENTILE"})
+NAMES = frozenset({"COUNT", "SUM", "AVG", "MIN", "MAX", "QUANTILE", "MEDIAN", "PERCENTILE", "APPROX_QUANTILE"})
 
 
 def level(call: Call) -> float:
@@ -27,7 +27,8 @@ def level(call: Call) -> float:
 
 
 def aggregate(call: Call, args: list[Typed]) -> Typed:
-    """SUM of nothing is 0; AVG, MIN, MAX and quantiles of nothing are null; COUNT(x) leaves nulls out."""
+    """SUM of nothing is 0; AVG, MIN, MAX and quantiles of nothing are null; COUNT(x) leaves nulls out. Quantiles are exact and so keep a
+    group's distinct values in one task; APPROX_QUANTILE(p)(x) is one of the values, a part in 10,000 of the ranks off, in bounded memory."""
     name = call.name.upper()
     if name == "COUNT" and (not call.args or isinstance(call.args[0], Star)):
         return Typed(F.count(F.lit(1)), "int", True)
@@ -46,4 +47,6 @@ def aggregate(call: Call, args: list[Typed]) -> Typed:
         return Typed(F.coalesce(total, F.lit(0 if x.kind != "float" else 0.0)), "float" if x.kind == "float" else "int")
     if name == "AVG":
         return Typed(F.avg(col), "float")
+    if name == "APPROX_QUANTILE":
+        return Typed(F.percentile_approx(col.cast("double"), level(call), 10_000), "float")
     return Typed(F.percentile(col, level(call)), "float")

@@ -19,6 +19,10 @@ from pyspark.sql import types as T
 from larkmill.errors import EngineError
 
 
+#: Values of a target up to which rows are split value by value.
+VALUES = 100
+
+
 class ModelProblem(EngineError):
     """Training or prediction cannot be done."""
 
@@ -73,11 +77,42 @@ def prepared(df: DataFrame, features: list[str]) -> list:
 
 
 def split(df: DataFrame, key: str, target: str | None, share: float = 0.75) -> tuple[DataFrame, DataFrame]:
-    """Stratified by target: of each value, the rows with a hash of the key under share; the same each time."""
-    u = F.pmod(F.xxhash64(F.lit(42), key, *([target] if target else [])), F.lit(10_000)) / 10_000
+    """Rows to train on and rows to hold out, the same each time. Of each value of a target that has few values, the share with the
+    smallest hashes of the key is trained on: their border is an approximate quantile of the hashes of that value, so that no group is
+    held or sorted in one task. Without a target, or one of many values, the border is the share itself."""
+    u = F.pmod(F.xxhash64(F.lit(42), key), F.lit(1_000_000)) / 1_000_000
+    if target:
+        borders = df.groupBy(F.col(target).alias("_value")).agg(F.percentile_approx(u, share, 10_000).alias("_border"), F.count(F.lit(1)).alias("_n")).limit(VALUES + 1).collect()
+        if len(borders) <= VALUES:
+            border = F.lit(share)
+            for r in borders:
+                border = F.when(F.col(target).eqNullSafe(F.lit(r._value)), F.lit(r._border)).otherwise(border)
+            return df.where(u <= border), df.where(u > border)
     return df.where(u < share), df.where(u >= share)
 
 
+def importances(model: PipelineModel, features: list[str]) -> dict[str, float]:
+    """Share of each feature in what a fitted model goes by: a tree's importances, or the sizes of coefficients; parts of a text feature add up."""
+    assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
+    fitted = next(s for s in model.stages if s.hasParam("predictionCol"))
+    if hasattr(fitted, "featureImportances"):
+        values = list(fitted.featureImportances.toArray())
+    elif hasattr(fitted, "coefficientMatrix"):
+        values = list(abs(fitted.coefficientMatrix.toArray()).sum(axis=0))
+    elif hasattr(fitted, "coefficients"):
+        values = list(abs(fitted.coefficients.toArray()))
+    else:
+        raise ModelProblem("This algorithm has no feature importances")
+    sizes = {s.getOutputCols()[i]: n for s in model.stages if s.hasParam("inputCols") and hasattr(s, "categorySizes") for i, n in enumerate(s.categorySizes)}
+    out, at = {}, 0
+    for f, column in zip(features, assembler.getInputCols(), strict=True):
+        n = sizes.get(column, 2) - 1 if column in sizes else 1
+        out[f] = float(sum(values[at : at + n]))
+        at += n
+    total = sum(out.values()) or 1.0
+    return {f: v / total for f, v in out.items()}
+
+
 def fit(df: DataFrame, key: str, features: list[str], target: str | None, task: str, algorithm: str, parameters: dict) -> tuple[PipelineModel, dict]:
     """The fitted pipeline and its metrics on the part that was held out (on all rows if that part is empty)."""
     if task != "clustering":

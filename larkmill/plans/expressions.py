@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from operator import add, eq, ge, gt, le, lt, mul, ne, sub
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ class Compiler:
             return a & b if e.op == "AND" else a | b
         if isinstance(e, Unary) and e.op == "NOT":
             return ~self.truth(e.arg)
+        if filtering and isinstance(e, InQuery):
+            return self.member(e)
         if isinstance(e, Binary) and e.op in _COMPARISONS and text(e) not in self.made:
             found = self.compare(e)
             return found if filtering else F.coalesce(found, F.lit(False))
@@ -130,12 +133,16 @@ class Compiler:
         return Typed(out, "bool", True)
 
     def _inquery(self, e: InQuery) -> Typed:
+        return Typed(F.coalesce(self.member(e), F.lit(False)), "bool", True)
+
+    def member(self, e: InQuery) -> Column:
+        """Whether the value is among the query's, null for a null value: left bare in a filter, it is planned as a semi join."""
         df = self.subquery(e.query)
         x, kind = self(e.arg), kind_of(df.schema[0].dataType)
         if x.numeric != (kind in ("int", "float", "bool")):
-            return Typed(F.lit(False), "bool", True)
+            return F.lit(False)
         first = df.select(df[df.columns[0]].alias("v")).where("v is not null")
-        return Typed(F.coalesce(x.col.isin(first), F.lit(False)), "bool", True)
+        return x.col.isin(first)
 
     def _scalar(self, e: Scalar) -> Typed:
         """The first value; 0 when there is no row."""
@@ -181,8 +188,15 @@ class Compiler:
             return SCALARS[name](*args)
         if e.params or not self.spark.catalog.functionExists(name.lower()):
             raise PlanProblem(f"Unknown function {e.name}")
-        return self.typed(F.call_function(name.lower(), *(a.col for a in args)))
-
-    def typed(self, col: Column) -> Typed:
-        """A column of one of Spark's own functions; its type is found by the caller's frame (see Select)."""
-        return Typed(col, "other")
+        return Typed(F.call_function(name.lower(), *(a.col for a in args)), self.kind_of_call(name.lower(), e, args))
+
+    def kind_of_call(self, name: str, e: Call, args: list[Typed]) -> str:
+        """What kind of value one of Spark's own functions gives for arguments of these kinds; literals stand for themselves."""
+        stand_ins = {"int": "bigint", "float": "double", "text": "string", "bool": "boolean", "time": "timestamp", "null": "void"}
+        if any(a.kind not in stand_ins for a in args):
+            return "other"
+        given = (a.col if isinstance(x, Literal) else F.lit(None).cast(stand_ins[a.kind]) for x, a in zip(e.args, args, strict=True))
+        try:
+            return kind_of(self.spark.range(1).select(F.call_function(name, *given).alias("v")).schema[0].dataType)
+        except AnalysisException:  # the statement itself will say what is wrong
+            return "other"

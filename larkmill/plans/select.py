@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -42,6 +45,10 @@ class Scope:
         self.columns += new
         return df.toDF(*(n for _, _, n, _ in new))
 
+    def hide(self, n: int) -> None:
+        """The last n columns are no longer to be found; their names stay taken."""
+        self.columns[-n:] = [("", "", at, "other") for *_, at, _ in self.columns[-n:]]
+
     def find(self, name: Name) -> Typed | None:
         found = [(n, k) for s, c, n, k in self.columns if c == name.name and name.table in (None, s)]
         if not found:
@@ -57,8 +64,13 @@ class SelectPlanner:
 
     def __init__(self, spark, tables: Callable, connectors: Callable, functions: dict) -> None:
         self.spark, self.tables, self.connectors, self.functions = spark, tables, connectors, functions
+        self.named_queries: dict[str, Select] = {}
 
     def plan(self, q: Select) -> DataFrame:
+        if q.named:
+            return self.with_named(q)
+        if q.more:
+            return self.together(q)
         scope = Scope()
         df = self.sources(q, scope)
         aliases = {i.alias: i.expr for i in q.items if i.alias and not isinstance(i.expr, Name)} | {i.alias: i.expr for i in q.items if i.alias and isinstance(i.expr, Name) and i.expr.name != i.alias}
@@ -90,9 +102,40 @@ class SelectPlanner:
             raise PlanProblem("Window functions and aggregates cannot be mixed in one SELECT")
         if grouped:
             return self.aggregated(q, df, scope, aliases, compiler)
-        named = [self.named(i, df, scope, compiler) for i in items]
+        df = self.whole_table(items, df, compiler)
+        named = [self.named(at, i, scope, compiler) for at, i in enumerate(items)]
         return self.finish(q, df, named, lambda n: scope.find(n))
 
+    # several queries
+
+    def with_named(self, q: Select) -> DataFrame:
+        """Named queries are planned wherever they are read; each sees those before it."""
+        outer = self.named_queries
+        try:
+            for name, query in q.named:
+                before = self.named_queries
+                self.named_queries = before | {name: (query, before)}
+            return self.plan(replace(q, named=()))
+        finally:
+            self.named_queries = outer
+
+    def together(self, q: Select) -> DataFrame:
+        """Columns by position, under the names of the first query. All but UNION ALL give each row once."""
+        df = self.plan(replace(q, more=()))
+        for kind, other in q.more:
+            right = self.plan(other)
+            if len(right.columns) != len(df.columns):
+                raise PlanProblem(f"{kind} needs as many columns on both sides")
+            kinds = [(kind_of(a.dataType), kind_of(b.dataType)) for a, b in zip(df.schema, right.schema, strict=True)]
+            if any(a != b and "null" not in (a, b) and not {a, b} <= {"int", "float"} for a, b in kinds):
+                raise PlanProblem(f"{kind} needs columns of one kind on both sides")
+            right = right.toDF(*df.columns)
+            if kind.startswith("UNION"):
+                df = df.union(right) if kind == "UNION ALL" else df.union(right).distinct()
+            else:
+                df = df.intersect(right) if kind == "INTERSECT" else df.subtract(right)
+        return df
+
     # sources
 
     def sources(self, q: Select, scope: Scope) -> DataFrame:
@@ -103,9 +146,14 @@ class SelectPlanner:
         for j in q.joins:
             right = scope.add(*self.source(j.source, None))
             compiler = Compiler(lambda n: scope.find(n) or self.missing(n), self.plan, self.functions, self.spark)
+            if j.how == "cross":
+                df = df.crossJoin(right)
+                continue
             if _aggregates(j.on):
                 raise PlanProblem("Aggregates are not allowed in ON")
             df = df.join(right, compiler.truth(j.on, filtering=True), j.how)
+            if j.how in ("left_semi", "left_anti"):
+                scope.hide(len(right.columns))
         return df
 
     def missing(self, n: Name) -> Typed:
@@ -114,6 +162,13 @@ class SelectPlanner:
     def source(self, s: Source, limit: int | None) -> tuple[str, DataFrame]:
         if s.query is not None:
             return s.alias or "", self.plan(s.query)
+        if s.connector is None and s.database is None and s.name in self.named_queries:
+            query, before = self.named_queries[s.name]
+            was, self.named_queries = self.named_queries, before
+            try:
+                return s.alias or s.name, self.plan(query)
+            finally:
+                self.named_queries = was
         if s.connector is not None:
             return s.alias or s.name, self.connectors(s.connector, s.name, limit)
         return s.alias or s.name, self.tables(s.database, s.name)
@@ -130,20 +185,39 @@ class SelectPlanner:
             if q.source is None:
                 raise PlanProblem("* needs FROM")
             many = bool(q.joins)
-            found = [(s, c) for s, c, _, _ in scope.columns if i.expr.table in (None, s)]
+            found = [(s, c) for s, c, _, _ in scope.columns if i.expr.table in (None, s) and c]
             if not found:
                 raise PlanProblem(f"Unknown source {i.expr.table}")
             out += [Item(Name(c, s), f"{s}.{c}" if many and sum(c == d for _, d in found) > 1 else c) for s, c in found]
         return out
 
-    def named(self, i: Item, df: DataFrame, scope: Scope, compiler: Compiler) -> tuple[str, Typed]:
+    def named(self, at: int, i: Item, scope: Scope, compiler: Compiler) -> tuple[str, Typed]:
         if isinstance(i.expr, Over):
-            return i.alias or f"{i.expr.call.name.lower()}_over", self.window(i.expr, scope, compiler)
+            return i.alias or f"{i.expr.call.name.lower()}_over", self.window(i.expr, scope, compiler, f"w{at}")
         x = compiler(i.expr)
         return i.alias or (i.expr.name if isinstance(i.expr, Name) else text(i.expr)), x
 
-    def window(self, e: Over, scope: Scope, compiler: Compiler) -> Typed:
-        """NTILE in the given order; aggregates over the whole partition whatever the order."""
+    def whole_table(self, items: list[Item], df: DataFrame, compiler: Compiler) -> DataFrame:
+        """df with the aggregates over the whole table, which are computed once and joined as one row, not by a window in one task; and
+        with those of DISTINCT values, which are grouped by the partition's keys and joined."""
+        for i, item in enumerate(items):
+            e = item.expr
+            if not isinstance(e, Over) or e.call.name.upper() not in AGGREGATES or e.partition and not e.call.distinct:
+                continue
+            x = aggregate(e.call, [compiler(a) for a in e.call.args if not isinstance(a, Star)])
+            for o in e.order:
+                compiler(o.name)
+            if not e.partition:
+                df = df.crossJoin(F.broadcast(df.agg(x.col.alias(f"w{i}"))))
+                continue
+            keys = [compiler(p).col for p in e.partition]
+            sums = df.groupBy(*(k.alias(f"w{i}k{j}") for j, k in enumerate(keys))).agg(x.col.alias(f"w{i}"))
+            same = reduce(and_, (k.eqNullSafe(F.col(f"w{i}k{j}")) for j, k in enumerate(keys)))
+            df = df.join(sums, same, "left")
+        return df
+
+    def window(self, e: Over, scope: Scope, compiler: Compiler, joined: str) -> Typed:
+        """NTILE in the given order; aggregates over the whole partition whatever the order. joined: what whole_table() calls the item."""
         name = e.call.name.upper()
         over = W.partitionBy(*(compiler(p).col for p in e.partition))
         if name == "NTILE":
@@ -160,8 +234,11 @@ class SelectPlanner:
         for o in e.order:
             compiler(o.name)
         x = aggregate(e.call, [compiler(a) for a in e.call.args if not isinstance(a, Star)])
+        if not e.partition or e.call.distinct:
+            return Typed(F.col(joined), x.kind)
         if name == "SUM":
-            return Typed(F.coalesce(F.sum(compiler(e.call.args[0]).col).over(over), F.lit(0)), x.kind)
+            value = compiler(e.call.args[0])
+            return Typed(F.coalesce(F.sum(value.col.cast("long") if value.kind == "bool" else value.col).over(over), F.lit(0)), x.kind)
         return Typed(x.col.over(over), x.kind)
 
     # aggregation
@@ -197,7 +274,8 @@ class SelectPlanner:
         group = [(n, Typed(x.col.cast("long"), "int", True) if x.kind == "bool" else x) for n, x in group]
         made = [(f"a{i}", aggregate(c, [compiler(a) for a in c.args if not isinstance(a, Star)])) for i, c in enumerate(calls.values())]
         columns = [x.col.alias(n) for n, x in made] or [F.count(F.lit(1)).alias("unused")]
-        df = df.groupBy(*(x.col.alias(n) for n, x in group)).agg(*columns) if group else df.agg(*columns)
+        by = {"ROLLUP": df.rollup, "CUBE": df.cube}.get(q.grouping, df.groupBy)
+        df = by(*(x.col.alias(n) for n, x in group)).agg(*columns) if group else df.agg(*columns)
         inside = {text(k): Typed(F.col(n), x.kind) for k, (n, x) in zip(keys, group, strict=True)}
         inside |= {t: Typed(F.col(n), x.kind, x.never_nan) for t, (n, x) in zip(calls, made, strict=True)}
         for k, (n, x) in zip(keys, group, strict=True):

@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
+from larkmill.errors import CatalogProblem
+
 
 def _at(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new folder in that of spark.checkpoint.dir, which driver and executors share; where that is unset, a temporary one in local mode only."""
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if shared:
+        return f"{shared.rstrip('/')}/larkmill-engine-{uuid.uuid4().hex}"
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise CatalogProblem("Give the engine a folder, or set spark.checkpoint.dir to one that driver and executors share")
+    return tempfile.mkdtemp(prefix="larkmill-engine-")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _at(spark, path)
     return fs.exists(p)

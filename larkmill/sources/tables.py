@@ -14,8 +14,8 @@ from larkmill.functions.kinds import kind_of, type_of
 from larkmill.sources import files
 
 ENGINES = ("File", "Memory", "Dictionary")
-#: Column of Dictionary tables that orders the writes of a key.
-WRITTEN = "_written"
+#: Columns of Dictionary tables that order the writes of a key: number of the write, and of the row within it.
+WRITTEN, ROW = "_written", "_row"
 #: Column of written parts that tells whether a value of the row did not convert; readers leave it out.
 FAULTY = "_larkmill_faulty"
 
@@ -62,8 +62,8 @@ class Tables:
         schema = self.schema(entry)
         if entry["engine"] == "Dictionary":
             key, value = (n for n, _ in entry["columns"])
-            rows = self.spark.read.schema(schema.add(WRITTEN, T.LongType())).parquet(*entry["parts"])
-            return rows.groupBy(key).agg(F.max_by(value, WRITTEN).alias(value))
+            rows = self.spark.read.schema(schema.add(WRITTEN, T.LongType()).add(ROW, T.LongType())).parquet(*entry["parts"])
+            return rows.groupBy(key).agg(F.max_by(value, F.struct(WRITTEN, ROW)).alias(value))
         return self.spark.read.schema(schema).parquet(*entry["parts"])
 
     def fitted(self, entry: dict, df: DataFrame, columns: list[str] | None, strict: bool) -> tuple[DataFrame, list]:
@@ -96,21 +96,29 @@ class Tables:
         made, bad = self.fitted(entry, df, columns, strict)
         made = made.withColumn(FAULTY, reduce(lambda a, b: a | b, (F.col(b) for b in bad)) if bad else F.lit(False)).drop(*bad)
         if entry["engine"] == "Dictionary":
-            made = made.withColumn(WRITTEN, F.lit(len(entry["parts"])).cast("long") * (1 << 40) + F.monotonically_increasing_id() % (1 << 40))
+            made = made.withColumn(WRITTEN, F.lit(len(entry["parts"])).cast("long")).withColumn(ROW, F.monotonically_increasing_id())
+        path, n = self.part(database, name, entry, made)
+        entry["parts"].append(path)
+        return n
+
+    def part(self, database: str, name: str, entry: dict, made: DataFrame) -> tuple[str, int]:
+        """Path and rows of a new part with the rows of made; none, and an error, if FAULTY holds in one."""
         path = f"{self.folder(database, name, entry)}/part-{uuid.uuid4().hex}"
         made.write.parquet(path)
         seen = self.spark.read.schema(f"{FAULTY} boolean").parquet(path).agg(F.count(F.lit(1)).alias("rows"), F.count_if(FAULTY).alias("bad")).first()
         if seen.bad:
             files.delete(self.spark, path)
             raise PlanProblem(f"{seen.bad} rows do not convert to the columns of {name}")
-        entry["parts"].append(path)
-        return seen.rows
+        return path, seen.rows
 
     def replace(self, database: str, name: str, df: DataFrame, columns: list | None = None) -> None:
-        """The rows of df take the place of the table's; readers see either."""
+        """The rows of df take the place of the table's, with its columns or those given; readers see either. All convert, or none is replaced."""
         entry = self.need(database, name)
-        path = f"{self.folder(database, name, entry)}/part-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        made, bad = self.fitted({"columns": columns or entry["columns"]}, df, None, True)
+        made = made.withColumn(FAULTY, reduce(lambda a, b: a | b, (F.col(b) for b in bad))).drop(*bad)
+        if entry["engine"] == "Dictionary":
+            made = made.withColumn(WRITTEN, F.lit(0).cast("long")).withColumn(ROW, F.monotonically_increasing_id())
+        path, _ = self.part(database, name, entry, made)
         old, entry["parts"] = entry["parts"], [path]
         if columns is not None:
             entry["columns"] = [list(c) for c in columns]
@@ -119,9 +127,6 @@ class Tables:
 
     def compact(self, database: str, name: str, partitions: int | None = None) -> None:
         df = self.read(database, name)
-        entry = self.need(database, name)
-        if entry["engine"] == "Dictionary":
-            df = df.withColumn(WRITTEN, F.lit(0).cast("long"))
         self.replace(database, name, df.coalesce(partitions) if partitions else df)
 
     def truncate(self, database: str, name: str) -> None:
@@ -139,12 +144,15 @@ class Tables:
 
     def alter(self, database: str, name: str, changes: list[tuple]) -> None:
         """ADD, DROP and MODIFY of columns: all of them or none. Added columns are null in the rows there are; a column that is
-        dropped, or gets another type, has the table rewritten."""
+        dropped, or gets another type, has the table rewritten. As for an INSERT, a value that does not convert is an error and changes
+        nothing. A Dictionary table keeps its two columns; rewritten, it has the last value of each key."""
         entry = self.need(database, name)
         columns = [list(c) for c in entry["columns"]]
         df, rewrite = self.read(database, name), False
         for verb, column, *kind in changes:
             names = [n for n, _ in columns]
+            if verb in ("ADD", "DROP") and entry["engine"] == "Dictionary":
+                raise PlanProblem("A Dictionary table has a key and a value")
             if verb == "ADD":
                 if column in names:
                     raise PlanProblem(f"Column {column} exists")
@@ -161,7 +169,8 @@ class Tables:
                 df, rewrite = df.drop(column), True
             else:
                 columns = [[n, kind[0] if n == column else t] for n, t in columns]
-                df, rewrite = df.withColumn(column, F.col(column).try_cast(type_of(kind[0]))), True
+                type_of(kind[0])
+                rewrite = True
         if rewrite and entry["parts"]:
             self.replace(database, name, df.select(*(n for n, _ in columns)), columns)
         entry["columns"] = columns

@@ -109,7 +109,7 @@ class Source:
 
 @dataclass(frozen=True)
 class Join:
-    how: str
+    how: str  # inner left right full cross left_semi left_anti
     source: Source
     on: object
 
@@ -126,6 +126,10 @@ class Select:
     limit: int | None = None
     offset: int = 0
     distinct: bool = False
+    #: "", ROLLUP or CUBE of group; queries that are put to this one's rows: (UNION, UNION ALL, INTERSECT or EXCEPT, query); named queries.
+    grouping: str = ""
+    more: tuple = ()
+    named: tuple = ()
 
 
 @dataclass
