@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
+from datetime import UTC, datetime, timedelta
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkmill.errors import PlanProblem
 from larkmill.functions.kinds import Typed
+from larkmill.models.runtime import split
 from larkmill.operators.quality import Check, violations
 from larkmill.plans.select import SelectPlanner
 from larkmill.session import Engine
@@ -70,7 +74,31 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "join_right": ("SELECT s.s_suppkey, n.n_name FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey", None),
     "join_unaliased": ("SELECT n_name, r_name FROM nation JOIN region ON nation.n_regionkey = region.r_regionkey", None),
     "join_filter_both_sides": ("SELECT o.o_orderkey, l.l_linenumber FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE o.o_totalprice > 300000 AND l.l_quantity > 45", None),
+    "join_full": ("SELECT s.s_suppkey, n.n_name FROM supplier s FULL OUTER JOIN nation n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000", None),
+    "join_full_bare": ("SELECT a.n_name AS x, b.n_name AS y FROM nation a FULL JOIN nation b ON a.n_nationkey = b.n_regionkey", None),
+    "join_cross": ("SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n WHERE n.n_regionkey >= r.r_regionkey", None),
+    "join_semi": ("SELECT c.c_custkey FROM customer c LEFT SEMI JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 250000", "SELECT c.c_custkey FROM customer c SEMI JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 250000"),
+    "join_anti": ("SELECT c.c_custkey, c.c_name FROM customer c LEFT ANTI JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT c.c_custkey, c.c_name FROM customer c ANTI JOIN orders o ON c.c_custkey = o.o_custkey"),
+    # several queries
+    "union_all": ("SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region", None),
+    "union_distinct": ("SELECT o_orderstatus AS s FROM orders UNION SELECT l_linestatus FROM lineitem", None),
+    "intersect_rows": ("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0", None),
+    "except_rows": ("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders", None),
+    "set_precedence": ("SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey FROM region INTERSECT SELECT c_nationkey FROM customer", None),
+    "set_order_limit": ("SELECT n_name AS name, 1 AS kind FROM nation UNION ALL SELECT r_name, 2 FROM region ORDER BY name DESC LIMIT 12", "SELECT n_name AS name, CAST(1 AS BIGINT) AS kind FROM nation UNION ALL SELECT r_name, 2 FROM region ORDER BY name DESC LIMIT 12"),
+    "named_query": ("WITH rich AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer WHERE c_acctbal > 5000) SELECT n, COUNT(*) AS c FROM rich GROUP BY n", "WITH rich AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer WHERE c_acctbal > 5000) SELECT n, COUNT(*) AS c FROM rich GROUP BY n"),
+    "named_queries_chained": ("WITH a AS (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT n, COUNT(*) AS m FROM a GROUP BY n) SELECT b.n, b.m, x.k FROM b JOIN a x ON x.n = b.n WHERE b.m < 5", None),
+    # built-in functions in expressions
+    "builtin_arithmetic": ("SELECT n_nationkey, length(n_name) + 1 AS a, -length(n_name) AS b, length(n_name) * 2 % 5 AS c FROM nation", "SELECT n_nationkey, CAST(length(n_name) + 1 AS BIGINT) AS a, CAST(-length(n_name) AS INTEGER) AS b, CAST(length(n_name) * 2 % 5 AS BIGINT) AS c FROM nation"),
+    "builtin_filter": ("SELECT upper(c_name) AS u FROM customer WHERE length(c_name) > 3 AND substring(c_mktsegment, 1, 1) = 'B'", None),
+    "builtin_aggregate": ("SELECT SUM(length(p_name)) AS s, AVG(abs(p_size - 25)) AS a FROM part", "SELECT CAST(SUM(length(p_name)) AS BIGINT) AS s, AVG(abs(p_size - 25)) AS a FROM part"),
+    "no_from": ("SELECT 1 + 2 AS three, 'x' AS t", "SELECT CAST(3 AS BIGINT) AS three, 'x' AS t"),
+    "comments": ("SELECT n_name // the name\n FROM nation /* of all */ WHERE n_regionkey = 1", "SELECT n_name FROM nation WHERE n_regionkey = 1"),
+    "division_by_zero": ("SELECT n_nationkey, n_nationkey / (n_regionkey - n_regionkey) AS v FROM nation WHERE n_nationkey > 0", "SELECT n_nationkey, CAST('Infinity' AS DOUBLE) AS v FROM nation WHERE n_nationkey > 0"),
     # aggregation
+    "group_rollup": ("SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP(l_returnflag, l_linestatus)", None),
+    "group_cube": ("SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY CUBE(o_orderstatus, o_orderpriority)", None),
+    "sum_distinct": ("SELECT SUM(DISTINCT l_linenumber) AS s, COUNT(DISTINCT l_returnflag) AS n FROM lineitem", "SELECT CAST(SUM(DISTINCT l_linenumber) AS BIGINT) AS s, COUNT(DISTINCT l_returnflag) AS n FROM lineitem"),
     "agg_global": ("SELECT COUNT(*) AS n, ROUND_2(SUM(l_quantity)) AS q, MIN(l_discount) AS lo, MAX(l_discount) AS hi FROM lineitem", "SELECT COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS q, MIN(l_discount) AS lo, MAX(l_discount) AS hi FROM lineitem"),
     "agg_default_name": ("SELECT COUNT(*) FROM nation", 'SELECT COUNT(*) AS "COUNT(*)" FROM nation'),
     "agg_empty_input": ("SELECT COUNT(*) AS n, SUM(l_linenumber) AS s FROM lineitem WHERE l_quantity < 0", "SELECT COUNT(*) AS n, CAST(COALESCE(SUM(l_linenumber), 0) AS BIGINT) AS s FROM lineitem WHERE l_quantity < 0"),
@@ -100,6 +128,9 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "win_sum_partition": ("SELECT l_orderkey, l_linenumber, SUM(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS s FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(SUM(l_linenumber) OVER (PARTITION BY l_orderkey) AS BIGINT) AS s FROM lineitem"),
     "win_minmax": ("SELECT o_orderkey, MIN(o_totalprice) OVER (PARTITION BY o_custkey) AS lo, MAX(o_totalprice) OVER (PARTITION BY o_custkey) AS hi FROM orders", None),
     "win_quantile": ("SELECT o_orderkey, quantile(0.5)(o_totalprice) OVER (PARTITION BY o_custkey) AS q FROM orders", "SELECT o_orderkey, quantile_cont(o_totalprice, 0.5) OVER (PARTITION BY o_custkey) AS q FROM orders"),
+    "win_whole_table": ("SELECT s_suppkey, COUNT(*) OVER () AS n, SUM(s_nationkey) OVER () AS t, MAX(s_name) OVER () AS m FROM supplier", "SELECT s_suppkey, COUNT(*) OVER () AS n, CAST(SUM(s_nationkey) OVER () AS BIGINT) AS t, MAX(s_name) OVER () AS m FROM supplier"),
+    "win_sum_bool": ("SELECT o_orderkey, SUM(o_totalprice > 150000) OVER (PARTITION BY o_custkey) AS n FROM orders", "SELECT o_orderkey, CAST(SUM(CAST(o_totalprice > 150000 AS BIGINT)) OVER (PARTITION BY o_custkey) AS BIGINT) AS n FROM orders"),
+    "win_distinct": ("SELECT o_orderkey, COUNT(DISTINCT o_orderstatus) OVER (PARTITION BY o_custkey) AS n FROM orders", None),
     # order and limit
     "order_multi": ("SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment, c_custkey DESC LIMIT 50", None),
     "order_hidden_column": ("SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20", None),
@@ -212,6 +243,202 @@ def alter_table_columns(spark, sf_dir):
     return e.sql("SELECT k, name, note FROM t")
 
 
+def alter_dictionary(spark, sf_dir):
+    """Another type for the value keeps every value; a third column is refused."""
+    e = _engine(spark, sf_dir, "nation")
+    e.sql("CREATE TABLE names (k Int64, v Int64) ENGINE = Dictionary")
+    e.sql("INSERT INTO names SELECT n_nationkey, n_regionkey FROM nation")
+    e.sql("INSERT INTO names VALUES (3, 77)")
+    e.sql("ALTER TABLE names MODIFY COLUMN v String")
+    for change in ("ADD COLUMN w String", "DROP COLUMN v"):
+        try:
+            e.sql(f"ALTER TABLE names {change}")
+        except PlanProblem:
+            e.sql("INSERT INTO names VALUES (99, 'refused')")
+    e.sql("INSERT INTO names VALUES (4, 'later')")
+    return e.sql("SELECT k, v FROM names")
+
+
+def alter_refused(spark, sf_dir):
+    """A type that a value does not convert to changes nothing."""
+    e = _engine(spark, sf_dir, "nation")
+    e.sql("CREATE TABLE t (k Int64, name String)")
+    e.sql("INSERT INTO t SELECT n_nationkey, n_name FROM nation")
+    try:
+        e.sql("ALTER TABLE t MODIFY COLUMN name Int64")
+    except PlanProblem:
+        e.sql("ALTER TABLE t MODIFY COLUMN k String")
+    return e.sql("SELECT k, name FROM t")
+
+
+def insert_refused(spark, sf_dir):
+    """All rows or none."""
+    e = _engine(spark, sf_dir, "customer")
+    e.sql("CREATE TABLE t (v Int64)")
+    e.sql("INSERT INTO t SELECT c_custkey FROM customer WHERE c_custkey < 20")
+    try:
+        e.sql("INSERT INTO t SELECT c_name FROM customer")
+    except PlanProblem:
+        return e.sql("SELECT v FROM t")
+
+
+def tables_listed(spark, sf_dir):
+    """What is there after CREATE, DROP, DETACH and TRUNCATE in two databases."""
+    e = _engine(spark, sf_dir, "region")
+    for s in ("CREATE DATABASE d", "USE d", "CREATE TABLE a (k Int64)", "CREATE TABLE b (k Int64) ENGINE = Memory", "CREATE TABLE c (k Int64)", "INSERT INTO a SELECT r_regionkey FROM region", "INSERT INTO b SELECT r_regionkey FROM region", "TRUNCATE TABLE a", "DROP TABLE c"):
+        e.sql(s)
+    rows = e.sql("SELECT COUNT(*) AS n FROM a").withColumn("t", F.lit("a")).union(e.sql("SELECT COUNT(*) AS n FROM b").withColumn("t", F.lit("b")))
+    names = sorted(r[0] for r in e.sql("SHOW TABLES").collect())
+    return rows.select("t", "n", F.lit(",".join(names)).alias("tables"))
+
+
+def view_altered(spark, sf_dir):
+    e = _engine(spark, sf_dir, "nation")
+    for s in ("CREATE VIEW v AS SELECT n_name FROM nation WHERE n_regionkey = 0", "CREATE VIEW w AS SELECT n_name FROM nation", "ALTER VIEW v AS SELECT n_name FROM nation WHERE n_regionkey = 3 UNION SELECT n_name FROM nation WHERE n_nationkey = 0", "DROP VIEW w"):
+        e.sql(s)
+    return e.sql("SELECT n_name FROM v").withColumn("views", F.lit(e.sql("SHOW VIEWS").count()))
+
+
+def mv_schedule(spark, sf_dir):
+    """Refreshed when its time has come, not before."""
+    e = _engine(spark, sf_dir, "nation")
+    for s in ("CREATE TABLE t (k Int64)", "CREATE MATERIALIZED VIEW m AS SELECT COUNT(*) AS n FROM t", "ALTER MATERIALIZED VIEW m SET REFRESH EVERY 1 HOUR", "INSERT INTO t SELECT n_nationkey FROM nation"):
+        e.sql(s)
+    now = datetime.now(UTC)
+    early = [e.tick(now), e.sql("SELECT n FROM m").first().n]
+    late = [e.tick(now + timedelta(hours=2)), e.sql("SELECT n FROM m").first().n]
+    return e.rows(["early", "late", "state"], [[early[1], late[1], late[0][0][1]]])
+
+
+def data_types_described(spark, sf_dir):
+    e = _engine(spark, sf_dir, "part")
+    e.sql("CREATE TABLE t (a Int64, b String, c Float64, d Date, e Bool, f Int32)")
+    return e.sql("DESCRIBE TABLE t")
+
+
+def parquet_roundtrip(spark, sf_dir):
+    path = f"{Engine(spark).root}/orders"
+    spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice").write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
+def shown_text(spark, sf_dir):
+    """The result sink's two forms of one result."""
+    e = _engine(spark, sf_dir, "region")
+    q = e.sql("SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey LIMIT 2")
+    return e.rows(["rows", "lines"], [[len(json.loads(e.shown(q))), len(e.shown(q, "TSV").split("\n"))]])
+
+
+def explained(spark, sf_dir):
+    """Whether the filter reaches the scan, and the membership is a semi join."""
+    e = _engine(spark, sf_dir, "orders", "customer")
+    text = "\n".join(r.plan for r in e.sql("EXPLAIN SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)").collect())
+    return e.rows(["pushed", "semi", "existence"], [["GreaterThan(o_totalprice" in text, "LeftSemi" in text, "ExistenceJoin" in text]])
+
+
+def registered_function(spark, sf_dir):
+    e = _engine(spark, sf_dir, "part")
+    e.register_function("taxed", lambda price, rate: price * (1 + rate))
+    return e.sql("SELECT p_partkey, taxed(p_retailprice, 0.5) AS t FROM part WHERE taxed(p_retailprice, 0.5) > 1500")
+
+
+def topology_listed(spark, sf_dir):
+    e = Engine(spark)
+    for s in ("CREATE NODE a TYPE COMPUTE ROLE WORKER", "REGISTER NODE b HOST '127.0.0.1' PORT 9001", "CREATE CLUSTER c", "ALTER CLUSTER c ADD NODE a, ADD NODE b", "CREATE SHARD_GROUP g TYPE HASH KEY k SHARDS 4"):
+        e.sql(s)
+    status = e.sql("SHOW CLUSTER STATUS c").first()
+    shards = e.sql("SHOW SHARDS g").count()
+    return e.rows(["cluster", "state", "shards", "nodes"], [[status[0], status[1], shards, e.sql("SHOW NODES").count()]])
+
+
+def storage_units(spark, sf_dir):
+    e = _engine(spark, sf_dir, "region")
+    e.sql(f"CREATE STORAGE_UNIT fast TYPE LOCAL PATH '{e.root}/fast'")
+    e.sql("CREATE TABLE t (k Int64) STORAGE_UNIT fast")
+    e.sql("INSERT INTO t SELECT r_regionkey FROM region")
+    there = all(f"{e.root}/fast" in p for p in e.tables.need("default", "t")["parts"])
+    return e.sql("SELECT k FROM t").withColumn("there", F.lit(there))
+
+
+def quality_listed(spark, sf_dir):
+    e = _engine(spark, sf_dir, "customer")
+    e.sql("CREATE DATA_QUALITY_RULE a ON customer UNIQUE c_custkey")
+    e.sql("CREATE DATA_QUALITY_RULE b ON customer MIN_ROWS 1 ACTION WARN")
+    for r in ("a", "b"):
+        e.sql(f"RUN DATA_QUALITY_RULE {r}")
+    shown = e.sql("SHOW DATA_QUALITY_RULES")
+    return shown.select(F.col(shown.columns[0]).alias("rule"))
+
+
+def pipeline_failure(spark, sf_dir):
+    """A task that Spark ends, one whose SELECT runs, and those that come after a failure."""
+    e = _engine(spark, sf_dir, "nation")
+    for s in (
+        "CREATE PIPELINE p OWNER 'me'", "CREATE STAGE s IN PIPELINE p ORDER 1", "CREATE TASK a IN STAGE s IN PIPELINE p TYPE SQL BODY 'SELECT n_name FROM nation'",
+        "CREATE TASK b IN STAGE s IN PIPELINE p TYPE SQL BODY 'SELECT n_nationkey % (n_regionkey - n_regionkey) AS x FROM nation' DEPENDS ON a", "CREATE TASK c IN STAGE s IN PIPELINE p TYPE BUILT_IN DEPENDS ON b", "RUN PIPELINE p",
+    ):
+        e.sql(s)
+    return e.sql("SHOW TASK_RUNS FOR PIPELINE p").select("task", "status", (F.length("error") > 0).alias("said_why"))
+
+
+def pipeline_triggers(spark, sf_dir):
+    """A schedule, an insert and a web call each make the pipeline run once."""
+    e = _engine(spark, sf_dir, "nation")
+    for s in (
+        "CREATE TABLE t (k Int64)", "CREATE TABLE log (k Int64)", "CREATE PIPELINE p OWNER 'me'", "CREATE STAGE s IN PIPELINE p ORDER 1", "CREATE TASK a IN STAGE s IN PIPELINE p TYPE SQL BODY 'INSERT INTO log VALUES (1)'",
+        "CREATE TRIGGER at ON PIPELINE p SCHEDULE '5 * * * *'", "CREATE TRIGGER into ON PIPELINE p ON INSERT INTO t", "CREATE TRIGGER hook ON PIPELINE p WEBHOOK SECRET 'x'",
+    ):
+        e.sql(s)
+    e.pipelines.tick(datetime(2026, 1, 1, 0, 5, tzinfo=UTC))
+    e.sql("INSERT INTO t SELECT n_nationkey FROM nation")
+    e.pipelines.tick(datetime(2026, 1, 1, 0, 6, tzinfo=UTC))
+    refused, queued = e.pipelines.webhook("p", "hook", "y"), e.pipelines.webhook("p", "hook", "x")
+    e.pipelines.tick(datetime(2026, 1, 1, 0, 7, tzinfo=UTC))
+    return e.sql("SELECT COUNT(*) AS runs FROM log").select("runs", F.lit(refused).alias("refused"), F.lit(queued).alias("queued"))
+
+
+def stream_retention(spark, sf_dir):
+    """Events past their stream's days go; offsets go on from where they were."""
+    e = Engine(spark)
+    for s in ("CREATE STREAM s RETAIN 7 DAYS", "INSERT INTO s VALUES ('a'), ('b')"):
+        e.sql(s)
+    e.purge(datetime.now(UTC) + timedelta(days=9))
+    e.sql("INSERT INTO s VALUES ('c')")
+    return e.sql("SUBSCRIBE s")
+
+
+def _trained(spark, sf_dir) -> Engine:
+    e = _engine(spark, sf_dir, "customer")
+    e.sql("CREATE VIEW known AS SELECT c_custkey AS k, c_acctbal AS bal, c_nationkey AS nation, c_acctbal > 4000 AS rich FROM customer")
+    for s in (
+        "CREATE FEATURE_SET f FROM known ENTITY_KEY(k) FEATURES(bal, nation) TARGET rich", "CREATE MODEL m TYPE CLASSIFICATION",
+        "CREATE TRAINING_JOB j MODEL m FEATURE_SET f FRAMEWORK SKLEARN ALGORITHM DecisionTreeClassifier OBJECTIVE ACCURACY", "RUN TRAINING_JOB j",
+    ):
+        e.sql(s)
+    return e
+
+
+def model_predictions(spark, sf_dir):
+    """The predictions of a table, as they were kept, right by the rule that the labels follow but next to its border."""
+    e = _trained(spark, sf_dir)
+    e.sql("PREDICT MODEL m:1 FROM known")
+    kept = e.sql("SELECT p.entity_key, p.prediction, k.bal FROM m_predictions p JOIN known k ON CAST(k.k AS String) = p.entity_key")
+    return kept.select("entity_key", ((F.col("prediction") == (F.col("bal") > 4000).cast("int").cast("string")) | (F.abs(F.col("bal") - 4000) < 500)).alias("fits"))
+
+
+def model_explained(spark, sf_dir):
+    shares = _trained(spark, sf_dir).sql("EXPLAIN MODEL m:1")
+    return shares.select("feature", (F.col("importance") > 0.9).alias("main"))
+
+
+def model_split(spark, sf_dir):
+    """Each label has its three quarters in the training part, a row or a five-thousandth more or less."""
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    train, held = split(df, "c_custkey", "c_mktsegment")
+    share = train.groupBy("c_mktsegment").agg(F.count("*").alias("a")).join(df.groupBy("c_mktsegment").agg(F.count("*").alias("b")), "c_mktsegment")
+    return share.select("c_mktsegment", (F.abs(F.col("a") - 0.75 * F.col("b")) <= 1 + F.col("b") / 5000).alias("even"), F.lit(train.count() + held.count()).alias("rows"))
+
+
 def csv_roundtrip(spark, sf_dir):
     from larkmill.sources.formats import read_csv, write_csv
 
@@ -323,6 +550,26 @@ PROGRAMS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "insert_select_text": (insert_select_text, "SELECT CAST(n AS BIGINT) AS n FROM (VALUES (7), (12), (-3)) t(n)"),
     "dictionary_engine": (dictionary_engine, "SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_nationkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 0) THEN (SELECT n_name FROM nation WHERE n_nationkey = 0) ELSE n_name END AS v FROM nation"),
     "alter_table_columns": (alter_table_columns, "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name, CAST(NULL AS VARCHAR) AS note FROM nation"),
+    "alter_dictionary": (alter_dictionary, "SELECT CAST(n_nationkey AS BIGINT) AS k, CASE n_nationkey WHEN 3 THEN '77' WHEN 4 THEN 'later' ELSE CAST(n_regionkey AS VARCHAR) END AS v FROM nation UNION ALL SELECT 99, 'refused'"),
+    "alter_refused": (alter_refused, "SELECT CAST(n_nationkey AS VARCHAR) AS k, n_name AS name FROM nation"),
+    "insert_refused": (insert_refused, "SELECT CAST(c_custkey AS BIGINT) AS v FROM customer WHERE c_custkey < 20"),
+    "tables_listed": (tables_listed, "SELECT 'a' AS t, CAST(0 AS BIGINT) AS n, 'a,b' AS tables UNION ALL SELECT 'b', COUNT(*), 'a,b' FROM region"),
+    "view_altered": (view_altered, "SELECT n_name, 1 AS views FROM nation WHERE n_regionkey = 3 OR n_nationkey = 0"),
+    "mv_schedule": (mv_schedule, "SELECT '0' AS early, CAST(COUNT(*) AS VARCHAR) AS late, 'READY' AS state FROM nation"),
+    "data_types_described": (data_types_described, "SELECT * FROM (VALUES ('a', 'Int64'), ('b', 'String'), ('c', 'Float64'), ('d', 'Date'), ('e', 'Bool'), ('f', 'Int32')) t(name, type)"),
+    "parquet_roundtrip": (parquet_roundtrip, "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"),
+    "shown_text": (shown_text, "SELECT '2' AS rows, '3' AS lines"),
+    "explained": (explained, "SELECT 'True' AS pushed, 'True' AS semi, 'False' AS existence"),
+    "registered_function": (registered_function, "SELECT p_partkey, p_retailprice * 1.5::DOUBLE AS t FROM part WHERE p_retailprice * 1.5::DOUBLE > 1500"),
+    "topology_listed": (topology_listed, "SELECT 'c' AS cluster, 'DEGRADED' AS state, '4' AS shards, '2' AS nodes"),
+    "storage_units": (storage_units, "SELECT CAST(r_regionkey AS BIGINT) AS k, TRUE AS there FROM region"),
+    "quality_listed": (quality_listed, "SELECT * FROM (VALUES ('a'), ('b')) t(rule)"),
+    "pipeline_failure": (pipeline_failure, "SELECT * FROM (VALUES ('a', 'SUCCESS', FALSE), ('b', 'FAILED', TRUE), ('c', 'SKIPPED', FALSE)) t(task, status, said_why)"),
+    "pipeline_triggers": (pipeline_triggers, "SELECT CAST(3 AS BIGINT) AS runs, 401 AS refused, 202 AS queued"),
+    "stream_retention": (stream_retention, "SELECT '2' AS \"offset\", 'c' AS payload"),
+    "model_predictions": (model_predictions, "SELECT CAST(c_custkey AS VARCHAR) AS entity_key, TRUE AS fits FROM customer"),
+    "model_explained": (model_explained, "SELECT * FROM (VALUES ('bal', TRUE), ('nation', FALSE)) t(feature, main)"),
+    "model_split": (model_split, "SELECT DISTINCT c_mktsegment, TRUE AS even, (SELECT CAST(COUNT(*) AS INTEGER) FROM customer) AS rows FROM customer"),
     "csv_roundtrip": (csv_roundtrip, "SELECT p_partkey, p_name, p_retailprice FROM part"),
     "binary_backup_roundtrip": (binary_backup_roundtrip, "SELECT * FROM nation"),
     "stream_publish_subscribe": (stream_publish_subscribe, "SELECT * FROM (VALUES ('0', 'a', '1'), ('1', 'b', '1'), ('2', 'c', '2')) t(\"offset\", payload, round)"),

@@ -36,6 +36,34 @@ def test_tables(e):
             e.sql(bad)
 
 
+def test_dictionary_tables_keep_the_last_value(e, spark):
+    run(e, "CREATE TABLE d (k Int64, v String) ENGINE = Dictionary", "INSERT INTO d VALUES (1, '10'), (2, 'x')")
+    e.register_frame("many", spark.range(0, 400, 1, 200).selectExpr("CAST(2 AS BIGINT) AS k", "CAST(id AS STRING) AS v"))
+    run(e, "INSERT INTO d SELECT k, v FROM many")
+    assert run(e, "SELECT * FROM d ORDER BY k") == [(1, "10"), (2, "399")]
+    run(e, "ALTER TABLE d MODIFY COLUMN v Int64")
+    assert run(e, "SELECT * FROM d ORDER BY k") == [(1, 10), (2, 399)]
+    for bad in ("ALTER TABLE d ADD COLUMN w Int64", "ALTER TABLE d DROP COLUMN v"):
+        with pytest.raises(EngineError, match="key and a value"):
+            e.sql(bad)
+    run(e, "INSERT INTO d VALUES (2, 5)")
+    assert run(e, "SELECT * FROM d ORDER BY k") == [(1, 10), (2, 5)]
+
+
+def test_modify_is_strict(e):
+    run(e, "CREATE TABLE t (a String, b Int64)", "INSERT INTO t VALUES ('7', 1), ('seven', 2)")
+    with pytest.raises(EngineError, match="convert"):
+        e.sql("ALTER TABLE t MODIFY COLUMN a Int64")
+    assert run(e, "SELECT a, b FROM t ORDER BY b") == [("7", 1), ("seven", 2)]
+    assert run(e, "DESCRIBE t") == [("a", "String"), ("b", "Int64")]
+
+
+def test_any_failure_of_a_task_is_recorded(e):
+    run(e, "CREATE TABLE t (a Int64)", "INSERT INTO t VALUES (1)", "CREATE PIPELINE p OWNER 'me'", "CREATE STAGE s IN PIPELINE p ORDER 1", "CREATE TASK a IN STAGE s IN PIPELINE p TYPE SQL BODY 'SELECT a % 0 AS x FROM t'", "CREATE TASK b IN STAGE s IN PIPELINE p TYPE BUILT_IN DEPENDS ON a")
+    assert run(e, "RUN PIPELINE p")[0][1] == "FAILED"
+    assert [r[4] for r in run(e, "SHOW TASK_RUNS")] == ["FAILED", "SKIPPED"]
+
+
 def test_insert_select_is_strict_and_whole(e):
     run(e, "CREATE TABLE raw (k String)", "INSERT INTO raw VALUES ('1'), (' 2 '), ('abc')", "CREATE TABLE typed (n Int64)")
     with pytest.raises(EngineError, match="convert"):
@@ -140,7 +168,7 @@ class _Api(http.server.BaseHTTPRequestHandler):
     got: list = []
 
     def do_GET(self):
-        body = json.dumps([{"order_id": "100", "total": "42.50"}, {"order_id": "101", "total": "-5.00"}] if "orders" in self.path else {"orders": 1, "customers": 2}).encode()
+        body = json.dumps([{"station": "7", "rain": "3.25", "sky": "grey"}, {"station": "8", "rain": "0.5", "sky": "blue"}] if "readings" in self.path else {"readings": 2, "stations": 2}).encode()
         self.send_response(200)
         self.end_headers()
         self.wfile.write(body)
@@ -159,16 +187,16 @@ class _Api(http.server.BaseHTTPRequestHandler):
 def test_connectors(e):
     server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Api)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    run(e, f"CREATE CONNECTOR api TYPE REST BASE_URL 'http://127.0.0.1:{server.server_port}'")
-    assert run(e, "DISCOVER SCHEMA FROM CONNECTOR api") == [("customers",), ("orders",)]
-    assert run(e, "TEST CONNECTOR api")[0][1] == "true"
-    run(e, "CREATE TABLE o (order_id Int64, total Float64)", "INSERT INTO o SELECT order_id, total FROM CONNECTOR api.orders")
-    assert run(e, "SELECT * FROM o ORDER BY order_id") == [(100, 42.5), (101, -5.0)]
-    assert run(e, "EXPORT TABLE o TO CONNECTOR api.sink MODE OVERWRITE") == [("api", "sink", "OVERWRITE", 2)]
-    assert _Api.got[0][:2] == ("PUT", "/sink")
-    assert len(_Api.got[0][2]) == 2
+    run(e, f"CREATE CONNECTOR weather TYPE REST BASE_URL 'http://127.0.0.1:{server.server_port}'")
+    assert run(e, "DISCOVER SCHEMA FROM CONNECTOR weather") == [("readings",), ("stations",)]
+    assert run(e, "TEST CONNECTOR weather")[0][1] == "true"
+    run(e, "CREATE TABLE rain (station Int32, mm Float64)", "INSERT INTO rain SELECT station, rain FROM CONNECTOR weather.readings WHERE sky = 'grey'", "INSERT INTO rain VALUES (9, 0)")
+    assert run(e, "SELECT * FROM rain ORDER BY station") == [(7, 3.25), (9, 0.0)]
+    assert run(e, "EXPORT TABLE rain TO CONNECTOR weather.archive MODE OVERWRITE") == [("weather", "archive", "OVERWRITE", 2)]
+    assert _Api.got[0][:2] == ("PUT", "/archive")
+    assert sorted(str(x["station"]) for x in _Api.got[0][2]) == ["7", "9"]
     with pytest.raises(EngineError):
-        e.sql("EXPORT TABLE o TO CONNECTOR api MODE MERGE")
+        e.sql("EXPORT TABLE rain TO CONNECTOR weather MODE MERGE")
     server.shutdown()
 
 
