@@ -119,8 +119,8 @@ def free(name: str, df: DataFrame) -> str:
     return name
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int, max_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Sub-batches of about max_bytes of the column at index text (one row at least), with its values as bytes, null as b""."""
+def slices(batches: Iterator[pa.RecordBatch], text: int, max_bytes: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Sub-batches of about max_bytes (small enough for a processor's cache to hold what is made of them) of the column at index text (one row at least), with its values as bytes, null as b""."""
     for batch in batches:
         col = batch.column(text).cast(pa.large_binary())
         if not len(col):
