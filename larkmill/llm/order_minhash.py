@@ -83,6 +83,9 @@ def codes(text: Column) -> Column:
 
     A component's tuple: the k-mers with the TUPLE smallest hashes among those that fall to it (one permutation dealt out to all
     components), in text order. Equal texts have equal codes; a moved passage changes tuples that a mere set would keep.
+
+    A variant: Order MinHash draws a permutation for each component. With one for all, a text of n k-mers has n / COMPONENTS of them in a
+    component, so that short texts have many with one k-mer, which record no order.
     """
 
     def least(items: Column) -> Column:
@@ -182,7 +185,8 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null texts are empty; texts
+    without words are alike (1) to each other and to nothing else (0); rows of one doc_id are ordered by their texts' hashes."""
     made = with_edits(documents(spark, sf_dir))
     return made.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
