@@ -36,8 +36,8 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("mixture", mixture), ("token_ids", token_ids)]
 
-#: No SQL expresses the trained stages. Tests hold the token stage against the library and near_duplicates and its parts against
-#: brute force on small tables; of the other stages they check rules and single cases, of the whole only columns and numbers of rows.
+#: No SQL expresses the trained stages. Tests hold each stage's rows, on small tables, against its operator's own scores, links and
+#: copies, which other tests hold against brute force, held-out labels, planted secrets and the library.
 ORACLE_SQL = None
 
 
