@@ -124,6 +124,7 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "quantile_by_group": ("SELECT o_orderstatus, quantile(0.5)(o_totalprice) AS q FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, quantile_cont(o_totalprice, 0.5) AS q FROM orders GROUP BY o_orderstatus"),
     # windows
     "ntile_global": ("SELECT s_suppkey, NTILE(4) OVER (ORDER BY s_suppkey) AS b FROM supplier", "SELECT s_suppkey, CAST(NTILE(4) OVER (ORDER BY s_suppkey) AS BIGINT) AS b FROM supplier"),
+    "ntile_global_text": ("SELECT c_custkey, NTILE(7) OVER (ORDER BY c_mktsegment DESC, c_custkey) AS b FROM customer", "SELECT c_custkey, CAST(NTILE(7) OVER (ORDER BY c_mktsegment DESC, c_custkey) AS BIGINT) AS b FROM customer"),
     "ntile_partitioned": ("SELECT o_orderkey, NTILE(3) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS b FROM orders", "SELECT o_orderkey, CAST(NTILE(3) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS b FROM orders"),
     "win_sum_partition": ("SELECT l_orderkey, l_linenumber, SUM(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS s FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(SUM(l_linenumber) OVER (PARTITION BY l_orderkey) AS BIGINT) AS s FROM lineitem"),
     "win_minmax": ("SELECT o_orderkey, MIN(o_totalprice) OVER (PARTITION BY o_custkey) AS lo, MAX(o_totalprice) OVER (PARTITION BY o_custkey) AS hi FROM orders", None),
@@ -491,6 +492,20 @@ def stream_windows(spark, sf_dir):
     return counted.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "events")
 
 
+def stream_windows_sliding(spark, sf_dir):
+    from larkmill.streaming.log import windowed_counts
+
+    counted = windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "3 hours", "10 minutes", "ts", "event_type", slide="1 hour")
+    return counted.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "events")
+
+
+def stream_sessions(spark, sf_dir):
+    from larkmill.streaming.log import session_counts
+
+    counted = session_counts(spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "6 hours", "10 minutes", "ts", "user_id")
+    return counted.select(F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_id", "events")
+
+
 def dq_checks(spark, sf_dir):
     """Four checks on one table; RANGE and EXPRESSION in one pass."""
     df = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -576,6 +591,8 @@ PROGRAMS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "consumer_lag": (consumer_lag, "SELECT 's' AS stream, '3' AS event_count, '1' AS consumer_lag"),
     "stream_events": (stream_events, 'SELECT ROW_NUMBER() OVER (ORDER BY event_id) - 1 AS "offset", event_type AS payload FROM events'),
     "stream_windows": (stream_windows, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, COUNT(*) AS events FROM events GROUP BY 1, 2"),
+    "stream_windows_sliding": (stream_windows_sliding, "SELECT strftime(date_trunc('hour', ts) - to_hours(k), '%Y-%m-%d %H:%M:%S') AS start, event_type, COUNT(*) AS events FROM events, (VALUES (0), (1), (2)) t(k) GROUP BY 1, 2"),
+    "stream_sessions": (stream_sessions, "SELECT strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, COUNT(*) AS events FROM (SELECT ts, user_id, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (SELECT ts, user_id, CASE WHEN ts > LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, session"),
     "dq_checks": (dq_checks, "SELECT 'UNIQUE' AS kind, CAST((SELECT SUM(n) FROM (SELECT COUNT(*) AS n FROM orders GROUP BY o_custkey) WHERE n > 1) AS BIGINT) AS violations UNION ALL SELECT 'RANGE', COUNT(*) FILTER (NOT (o_totalprice >= 1000 AND o_totalprice <= 200000)) FROM orders UNION ALL SELECT 'EXPRESSION', COUNT(*) FILTER (o_orderstatus = 'F') FROM orders UNION ALL SELECT 'MIN_ROWS', 10000000 - COUNT(*) FROM orders"),
     "dq_unique": (partial(dq_rule, "UNIQUE c_nationkey"), "SELECT 'r' AS rule, 'WARNED' AS status, CAST(SUM(n) AS BIGINT) AS violations FROM (SELECT COUNT(*) AS n FROM customer GROUP BY c_nationkey) WHERE n > 1"),
     "dq_range": (partial(dq_rule, "RANGE c_acctbal MIN 0"), "SELECT 'r' AS rule, 'WARNED' AS status, COUNT(*) AS violations FROM customer WHERE NOT c_acctbal >= 0"),

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkmill.errors import PlanProblem
 from larkmill.functions.aggregate import NAMES as AGGREGATES
@@ -19,6 +21,8 @@ from larkmill.plans.expressions import Compiler
 from larkmill.sql.tree import Call, Item, Literal, Name, Over, Select, Source, Star, parts, text
 
 DEPTH = 16
+#: Ranges of the first sort key in which rows are ranked when a rank goes over the whole table.
+RANGES = 128
 
 
 def walk(e: object) -> Iterator[object]:
@@ -27,6 +31,32 @@ def walk(e: object) -> Iterator[object]:
         yield from walk(p)
 
 
+def _measure(col: Column, kind: T.DataType) -> Column:
+    """A double that never falls as col rises, null for null; the same for all values of a type that has none."""
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return col.cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(col).cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampNTZType)):
+        return F.unix_date(col.cast("date")).cast("double")
+    if kind == T.StringType():
+        return F.conv(F.rpad(F.substring(F.hex(col.cast("binary")), 1, 12), 12, "0"), 16, 10).cast("double")
+    return F.lit(0.0)
+
+
+def _repeatable(df: DataFrame) -> bool:
+    """Whether df has the same rows each time it is computed."""
+    plan = df._jdf.queryExecution().analyzed()
+    return plan.deterministic() and not re.search(r"\b(GlobalLimit|LocalLimit|Offset|Sample)\b", plan.toString())
+
+
+def _ntile(n: int, rank: Column, total: Column) -> Column:
+    """The bucket of a rank from 1 to total: the first total % n buckets have one row more than the others."""
+    size, more = F.floor(total / n), total % n
+    cut = more * (size + 1)
+    return F.when(rank <= cut, F.floor((rank - 1) / (size + 1)) + 1).otherwise(more + F.floor((rank - 1 - cut) / F.greatest(size, F.lit(1))) + 1)
+
+
 def _aggregates(e: object) -> list[Call]:
     return [x for x in walk(e) if isinstance(x, Call) and x.name.upper() in AGGREGATES]
 
@@ -102,7 +132,7 @@ class SelectPlanner:
             raise PlanProblem("Window functions and aggregates cannot be mixed in one SELECT")
         if grouped:
             return self.aggregated(q, df, scope, aliases, compiler)
-        df = self.whole_table(items, df, compiler)
+        df = self.whole_table(items, df, scope, compiler)
         named = [self.named(at, i, scope, compiler) for at, i in enumerate(items)]
         return self.finish(q, df, named, lambda n: scope.find(n))
 
@@ -197,11 +227,13 @@ class SelectPlanner:
         x = compiler(i.expr)
         return i.alias or (i.expr.name if isinstance(i.expr, Name) else text(i.expr)), x
 
-    def whole_table(self, items: list[Item], df: DataFrame, compiler: Compiler) -> DataFrame:
-        """df with the aggregates over the whole table, which are computed once and joined as one row, not by a window in one task; and
-        with those of DISTINCT values, which are grouped by the partition's keys and joined."""
+    def whole_table(self, items: list[Item], df: DataFrame, scope: Scope, compiler: Compiler) -> DataFrame:
+        """df with the aggregates over the whole table, which are computed once and joined as one row, not by a window in one task; with
+        those of DISTINCT values, which are grouped by the partition's keys and joined; and with NTILE over the whole table."""
         for i, item in enumerate(items):
             e = item.expr
+            if isinstance(e, Over) and e.call.name.upper() == "NTILE" and not e.partition:
+                df = self.ranged_ntile(df, e, scope, compiler, f"w{i}")
             if not isinstance(e, Over) or e.call.name.upper() not in AGGREGATES or e.partition and not e.call.distinct:
                 continue
             x = aggregate(e.call, [compiler(a) for a in e.call.args if not isinstance(a, Star)])
@@ -216,19 +248,41 @@ class SelectPlanner:
             df = df.join(sums, same, "left")
         return df
 
+    def ntile_order(self, e: Over, scope: Scope, compiler: Compiler) -> tuple[int, list[Column]]:
+        """The number of buckets of NTILE, and its order; ties go by all columns."""
+        n = e.call.args[0] if len(e.call.args) == 1 else None
+        if not isinstance(n, Literal) or not isinstance(n.value, int) or n.value <= 0:
+            raise PlanProblem("NTILE needs a positive literal number of buckets")
+        if not e.order:
+            raise PlanProblem("NTILE needs ORDER BY")
+        keys = [compiler(o.name).col.desc_nulls_last() if o.descending else compiler(o.name).col.asc_nulls_first() for o in e.order]
+        return n.value, keys + [F.col(n) for _, _, n, k in scope.columns if k not in ("other", "null")]
+
+    def ranged_ntile(self, df: DataFrame, e: Over, scope: Scope, compiler: Compiler, at: str) -> DataFrame:
+        """df with column at: NTILE over all rows, without one task that sorts them all. Ranges of the first key are ranked each for
+        itself and begin after the rows of those before them; their bounds are approximate, which moves their sizes and no rank."""
+        n, order = self.ntile_order(e, scope, compiler)
+        if not _repeatable(df):  # rows behind a LIMIT may differ from pass to pass
+            return df.withColumn(at, F.ntile(n).over(W.orderBy(*order)).cast("long"))
+        first = compiler(e.order[0].name).col
+        place = _measure(first, df.select(first).schema[0].dataType)
+        bounds = df.agg(F.percentile_approx(place, [i / RANGES for i in range(1, RANGES)], 10_000).alias(f"{at}b"))
+        part = F.coalesce(F.size(F.filter(F.col(f"{at}b"), lambda b: b < place)), F.lit(-1))
+        ranged = df.crossJoin(F.broadcast(bounds)).withColumn(f"{at}p", -part if e.order[0].descending else part).drop(f"{at}b")
+        sizes = ranged.groupBy(f"{at}p").agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(W.orderBy(f"{at}p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        starts = sizes.select(F.col(f"{at}p").alias(f"{at}q"), before.alias(f"{at}s"), F.sum("n").over(W.partitionBy()).alias(f"{at}t"))
+        placed = ranged.join(F.broadcast(starts), F.col(f"{at}p") == F.col(f"{at}q"))
+        rank = F.col(f"{at}s") + F.row_number().over(W.partitionBy(f"{at}p").orderBy(*order))
+        return placed.withColumn(f"{at}r", rank).withColumn(at, _ntile(n, F.col(f"{at}r"), F.col(f"{at}t")).cast("long")).drop(*(f"{at}{x}" for x in "pqstr"))
+
     def window(self, e: Over, scope: Scope, compiler: Compiler, joined: str) -> Typed:
         """NTILE in the given order; aggregates over the whole partition whatever the order. joined: what whole_table() calls the item."""
         name = e.call.name.upper()
         over = W.partitionBy(*(compiler(p).col for p in e.partition))
         if name == "NTILE":
-            n = e.call.args[0] if len(e.call.args) == 1 else None
-            if not isinstance(n, Literal) or not isinstance(n.value, int) or n.value <= 0:
-                raise PlanProblem("NTILE needs a positive literal number of buckets")
-            if not e.order:
-                raise PlanProblem("NTILE needs ORDER BY")
-            keys = [compiler(o.name).col.desc_nulls_last() if o.descending else compiler(o.name).col.asc_nulls_first() for o in e.order]
-            ties = [F.col(n) for _, _, n, k in scope.columns if k not in ("other", "null")]
-            return Typed(F.ntile(n.value).over(over.orderBy(*keys, *ties)).cast("long"), "int", True)
+            n, order = self.ntile_order(e, scope, compiler)
+            return Typed(F.ntile(n).over(over.orderBy(*order)).cast("long") if e.partition else F.col(joined), "int", True)
         if name not in AGGREGATES:
             raise PlanProblem(f"Unknown window function {e.call.name}")
         for o in e.order:

@@ -77,6 +77,13 @@ def read_stream(spark: SparkSession, root: str, stream: str, files_per_trigger:
     return reader.parquet(log_path(root, stream))
 
 
-def windowed_counts(events: DataFrame, window: str, late: str, ts: str = "ts", *keys: str) -> DataFrame:
-    """Events in each tumbling window and key, with a watermark: works on streaming and plain frames."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, window), *keys).agg(F.count("*").alias("events"))
+def windowed_counts(events: DataFrame, window: str, late: str, ts: str = "ts", *keys: str, slide: str | None = None) -> DataFrame:
+    """Events in each window and key, with a watermark: works on streaming and plain frames. slide: from one window's start to the next
+    (None: windows follow each other without overlap). Rows without a time are in no window."""
+    return events.withWatermark(ts, late).groupBy(F.window(ts, window, slide), *keys).agg(F.count("*").alias("events"))
+
+
+def session_counts(events: DataFrame, gap: str, late: str, ts: str = "ts", *keys: str) -> DataFrame:
+    """Events in each session of a key, with a watermark: a session ends when its key has no event for gap; its end is the last event's
+    time and gap. Works on streaming and plain frames."""
+    return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), *keys).agg(F.count("*").alias("events"))

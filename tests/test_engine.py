@@ -164,6 +164,30 @@ def test_streams(e, spark):
         e.sql("DROP TOPIC t")
 
 
+def test_event_time_windows(spark, tmp_path):
+    """Plain and streaming frames give the same closed windows; the last event only moves the watermark beyond them."""
+    from larkmill.streaming.log import session_counts, windowed_counts
+
+    at = lambda *minutes: [(f"2024-05-01 {m // 60:02}:{m % 60:02}:00", k) for m, k in minutes]
+    rows = at((0, "a"), (4, "a"), (11, "a"), (14, "b"), (40, "a"), (41, "b"))
+    schema = "t string, k string"
+    spark.createDataFrame(rows, schema).selectExpr("CAST(t AS TIMESTAMP) AS ts", "k").coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame(at((600, "z")), schema).selectExpr("CAST(t AS TIMESTAMP) AS ts", "k").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    plain = spark.read.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(plain.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def closed(counted, window, name):
+        made = lambda df: sorted((r.start, r.k, r.events) for r in df.selectExpr(f"date_format({window}.start, 'HH:mm') AS start", "k", "events").collect() if r.k != "z")
+        query = counted(live).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert made(spark.table(name)) == made(counted(plain))
+        return made(counted(plain))
+
+    slid = closed(lambda df: windowed_counts(df, "20 minutes", "1 minute", "ts", "k", slide="10 minutes"), "window", "slid")
+    assert [x for x in slid if x[1] == "a"] == [("00:00", "a", 3), ("00:10", "a", 1), ("00:30", "a", 1), ("00:40", "a", 1), ("23:50", "a", 2)]
+    assert closed(lambda df: session_counts(df, "10 minutes", "1 minute", "ts", "k"), "session_window", "sessions") == [("00:00", "a", 3), ("00:14", "b", 1), ("00:40", "a", 1), ("00:41", "b", 1)]
+
+
 class _Api(http.server.BaseHTTPRequestHandler):
     got: list = []
 

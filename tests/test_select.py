@@ -97,12 +97,29 @@ def test_windows(e):
     assert set(rows(e, "SELECT COUNT(*) OVER () AS n, SUM(fee > 50) OVER () AS dear, COUNT(DISTINCT ship) OVER (PARTITION BY berth) AS s FROM calls")) == {(9, 4, 3)}
 
 
+@pytest.mark.parametrize(("key", "way"), [("x", ""), ("x", "DESC"), ("s", ""), ("s", "DESC"), ("b", ""), ("d", "DESC")])
+def test_ntile_over_all_rows(spark, key, way):
+    rows_ = [(i, None if i % 5 == 0 else float("nan") if i % 7 == 0 else (i * 37 % 50) / 3 - 8, None if i % 11 == 0 else "x" * (i % 3) + chr(97 + i % 13), i % 2 == 0, f"2024-03-{i % 28 + 1:02}") for i in range(300)]
+    e = Engine(spark)
+    e.register_frame("odd", spark.createDataFrame(rows_, "i int, x double, s string, b boolean, d string").selectExpr("i", "x", "s", "b", "CAST(d AS DATE) AS d"))
+    order = f"{key} {'DESC NULLS LAST' if way else 'ASC NULLS FIRST'}, i"
+    for n in (7, 1000):
+        want = e.sql("SELECT * FROM odd").selectExpr("i", f"CAST(NTILE({n}) OVER (ORDER BY {order}) AS LONG) AS q").collect()
+        assert sorted(map(tuple, e.sql(f"SELECT i, NTILE({n}) OVER (ORDER BY {key} {way}, i) AS q FROM odd").collect())) == sorted(map(tuple, want))
+    limited = e.sql(f"SELECT NTILE(2) OVER (ORDER BY {key} {way}) AS q FROM (SELECT * FROM odd LIMIT 10)").collect()
+    assert sorted(r.q for r in limited) == [1] * 5 + [2] * 5
+    none = e.sql(f"SELECT NTILE(2) OVER (ORDER BY {key} {way}) AS q FROM odd WHERE i < 0").collect()
+    assert none == []
+
+
 def test_plans(e):
     explained = lambda sql: "\n".join(r.plan for r in e.sql(f"EXPLAIN {sql}").collect())
     plan = explained("SELECT call FROM calls WHERE berth IN (SELECT berth FROM berths WHERE depth > 4)")
     assert "LeftSemi" in plan and "ExistenceJoin" not in plan
     plan = explained("SELECT call, SUM(nights) OVER () AS t FROM calls")
     assert "Window" not in plan
+    plan = explained("SELECT call, NTILE(3) OVER (ORDER BY nights) AS t FROM calls").partition("== Physical Plan ==")[2]
+    assert "row_number() windowspecdefinition(w1p" in plan
 
 
 @pytest.mark.parametrize(
