@@ -47,41 +47,47 @@ def write_png(samples: np.ndarray, level: int = 6) -> bytes:
 
 
 def unfilter(lines: np.ndarray, step: int) -> np.ndarray:
-    """lines: rows of a filter byte and samples; step: bytes in a pixel. Runs of rows with one of the first three filters go at once."""
+    """lines: rows of a filter byte and samples; step: bytes in a pixel. Runs of rows with one of the first three filters go at once;
+    what lies between the first and the last row with another filter goes by diagonals."""
     kinds, out = lines[:, 0], lines[:, 1:].copy()
     if len(kinds) and kinds.max() > 4:
         raise MediaError("unknown filter")
     above = np.zeros(out.shape[1], np.uint8)
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(kinds)) + 1, [len(kinds)]]) if len(kinds) else [0]
+    hard = np.flatnonzero(kinds > 2)
+    runs = kinds.copy()
+    if len(hard):
+        runs[hard[0] : hard[-1] + 1] = 3
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(runs)) + 1, [len(runs)]]) if len(runs) else [0]
     for at, end in zip(starts[:-1], starts[1:], strict=True):
-        kind, rows = kinds[at], out[at:end]
+        kind, rows = runs[at], out[at:end]
         if kind == 1:
             for k in range(step):
                 rows[:, k::step] = np.cumsum(rows[:, k::step], axis=1, dtype=np.uint8)
         elif kind == 2:
             rows[0] += above
             np.cumsum(rows, axis=0, dtype=np.uint8, out=rows)
-        elif kind > 2:
-            for row in rows:
-                _by_sample(row, above, step, kind)
-                above = row
+        elif kind == 3:
+            rows[:] = _by_diagonals(kinds[at:end], rows, above, step)
         above = out[end - 1]
     return out
 
 
-def _by_sample(row: np.ndarray, above: np.ndarray, step: int, kind: int) -> None:
-    """Average and Paeth rows need the sample before, so they go sample by sample. write_png makes none; they come in foreign images."""
-    up, line = above.tolist(), row.tolist()
-    for i, x in enumerate(line):
-        a, b = line[i - step] if i >= step else 0, up[i]
-        if kind == 3:
-            guess = (a + b) // 2
-        else:
-            c = up[i - step] if i >= step else 0
-            pa_, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-            guess = a if pa_ <= pb and pa_ <= pc else b if pb <= pc else c
-        line[i] = (x + guess) & 255
-    row[:] = line
+def _by_diagonals(kinds: np.ndarray, rows: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """rows with any of the five filters undone. A pixel needs the ones to its left, above it and between them, so those of a diagonal
+    go at once: in a table with a border, they are width apart. write_png makes no Average or Paeth rows; they come in foreign images."""
+    height, width = len(rows), rows.shape[1] // step
+    table = np.zeros((height + 1, width + 1, step), np.uint8)
+    table[0, 1:], table[1:, 1:] = above.reshape(width, step), rows.reshape(height, width, step)
+    flat = table.reshape(-1, step)
+    for t in range(height + width - 1):
+        low, high = max(0, t - width + 1), min(height - 1, t)
+        at = low * width + width + t + 2
+        end = at + (high - low) * width + 1
+        left, up, corner = (flat[at - back : end - back : width].astype(np.int16) for back in (1, width + 1, width + 2))
+        a, b, c = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        flat[at:end:width] += np.choose(kinds[low : high + 1, None], [np.zeros_like(left), left, up, (left + up) >> 1, paeth]).astype(np.uint8)
+    return table[1:, 1:].reshape(height, -1)
 
 
 def read_png(data: bytes) -> np.ndarray:
